@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mishaplens.functions.text import clean, key
-from mishaplens.llm import frequency, neighbours, pairs, subsequences
+from mishaplens.llm import frequency, mixing, neighbours, packing, pairs, subsequences
+from mishaplens.llm.tokens import with_token_counts
+from mishaplens.session import stage
 from mishaplens.sources.tables import table
 
 
@@ -82,6 +84,48 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.select("entry_id", "neighbour_id", F.round("cosine", 3).alias("cosine"), "place")
 
 
+# Problems 8 and 9
+
+
+def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", "text")
+    return stage(with_token_counts(docs, out="size").select("item_id", "source", "size"), "token_sizes")
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r.limit_label: r.capacity_tokens for r in table(spark, d, "pack_limits").collect()}
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    out = packing.pack(_token_sizes(spark, d), _capacities(spark, d))
+    return out.select("limit_label", F.col("item_id").alias("doc_id"), "piece_no", F.col("start").alias("first_token"), F.col("size").alias("n_tokens"), "bin_no")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    caps = _capacities(spark, d)
+    per_bin = packing.pack(_token_sizes(spark, d), caps).groupBy("limit_label", "bin_no").agg(F.sum("size").alias("used"), F.count("*").alias("n_pieces"))
+    limits = F.broadcast(table(spark, d, "pack_limits"))
+    return per_bin.join(limits, "limit_label").groupBy("limit_label", "capacity_tokens").agg(
+        F.count("*").alias("n_containers"),
+        F.sum("n_pieces").alias("n_pieces"),
+        F.sum("used").alias("n_tokens"),
+        F.sum(F.col("capacity_tokens") - F.col("used")).alias("unused_tokens"),
+        F.ceil(F.sum("used") / F.first("capacity_tokens")).alias("least_possible"),
+    )
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(_token_sizes(spark, d), table(spark, d, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0].select(F.col("item_id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "repeats")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -91,6 +135,10 @@ QUERIES = {
     "p4_patterns": p4_patterns,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p8_packed": p8_packed,
+    "p8_containers": p8_containers,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 
