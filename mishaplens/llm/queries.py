@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mishaplens.functions.text import clean, key
-from mishaplens.llm import frequency, mixing, neighbours, packing, pairs, subsequences
+from mishaplens.llm import frequency, mixing, neighbours, packing, pairs, subsequences, truncation
 from mishaplens.llm.tokens import with_token_counts
 from mishaplens.session import stage
 from mishaplens.sources.tables import table
@@ -126,6 +126,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+# Problem 10
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged_texts(_texts(spark, d)).filter("truncated").select(F.col("item_id").alias("doc_id"))
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(_texts(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -139,6 +154,8 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_report": p10_report,
 }
 
 
