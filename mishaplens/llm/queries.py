@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mishaplens.functions.text import clean, key
-from mishaplens.llm import frequency, mixing, neighbours, packing, pairs, subsequences, truncation
+from mishaplens.llm import frequency, mixing, names, neighbours, packing, pairs, subsequences, truncation
 from mishaplens.llm.tokens import with_token_counts
 from mishaplens.session import stage
 from mishaplens.sources.tables import table
@@ -84,6 +84,24 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.select("entry_id", "neighbour_id", F.round("cosine", 3).alias("cosine"), "place")
 
 
+# Problem 6
+
+_NAME_FIELDS = (("acft_make", "aircraft", "maker", names.Reference), ("acft_model", "aircraft", "model", names.ModelReference), ("eng_mfgr", "engines", "maker", names.Reference))
+
+
+def p6_spellings(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for field, t, ref_field, kind in _NAME_FIELDS:
+        part = names.attributed(table(spark, d, t).select(F.col(field).alias("spelling")), table(spark, d, "name_reference"), ref_field, kind)
+        part = part.select(F.lit(field).alias("name_field"), "spelling", "n_rows", "ref_id", "ref_label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_spellings(spark, d).filter(F.col("spelling") != F.col("ref_label")).select("name_field", "spelling", "ref_id")
+
+
 # Problems 8 and 9
 
 
@@ -150,6 +168,8 @@ QUERIES = {
     "p4_patterns": p4_patterns,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p6_found": p6_found,
+    "p6_spellings": p6_spellings,
     "p8_packed": p8_packed,
     "p8_containers": p8_containers,
     "p9_mix": p9_mix,
