@@ -15,6 +15,8 @@ SPIKE_TEXTS, SPIKE_TIMES, SPIKE_AROUND = 8, 8, 25
 LEAST_ENDS, MOST_ENDS = 0.002, 0.5
 #: Texts of up to so many words without a stop are notes or placeholders, not sentences.
 NOTE_WORDS = 2
+#: Last words of a text that footers and endings are looked for in.
+TAIL = 16
 
 _BREAK, _END = "⏎", "¶"
 _CLOSERS = "[\"')\\]»”’]*"
@@ -30,7 +32,7 @@ def _tokens(c: Column) -> Column:
 
 def _bare(tokens: Column, n: Column) -> Column:
     """Tokens without line breaks at their end. No text ends in more than one sign, as runs of breaks are one."""
-    return F.when(F.element_at(tokens, -1) == _BREAK, F.slice(tokens, 1, n - 1)).otherwise(tokens)
+    return F.when(F.try_element_at(tokens, F.lit(-1)) == _BREAK, F.slice(tokens, 1, n - 1)).otherwise(tokens)
 
 
 def _words(c: Column) -> Column:
@@ -63,16 +65,17 @@ def _counter(patterns: list[str]):
     return run
 
 
-def learned_footers(tokens: DataFrame) -> list[str]:
+def learned_footers(texts: DataFrame, tails: DataFrame) -> list[str]:
     """What is put after many texts, whatever they say: final word sequences that occur nowhere else, follow many different words, and are not the beginning of longer ones.
 
-    ``tokens`` has (tokens) without breaks at the end. Numbers count as equal.
+    ``texts`` has (text), ``tails`` their last words (tail) without breaks at
+    the end. Numbers count as equal.
     """
     lo, hi = FOOTER_WORDS
-    plain = tokens.select(F.transform("tokens", lambda t: F.regexp_replace(t, "[0-9]+", "9")).alias("g"))
-    tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(hi), F.size("g"))), lambda k: F.array_join(F.slice("g", -k, k), " "))
-    counted = plain.filter(F.size("g") > 0).select(F.explode(tails).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    n_texts = tokens.count()
+    plain = tails.select(F.transform(F.slice("tail", -F.least(F.size("tail"), F.lit(hi)), hi), lambda t: F.regexp_replace(t, "[0-9]+", "9")).alias("g"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("g")), lambda k: F.array_join(F.slice("g", -k, k), " "))
+    counted = plain.filter(F.size("g") > 0).select(F.explode(ends).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    n_texts = tails.count()
     rows = counted.filter(F.col("n") >= max(FOOTER_TEXTS, n_texts // FOOTER_PART) // 4).collect()  # bounded by FOOTER_PART
     n_of = {r.gram: r.n for r in rows}
     wider: dict[str, int] = {}
@@ -89,7 +92,8 @@ def learned_footers(tokens: DataFrame) -> list[str]:
         names.append(gram)
     if not names:
         return []
-    every = plain.select(F.array_join("g", " ").alias("t")).mapInArrow(_counter(names), "gram string, n_all bigint")
+    joined = F.regexp_replace(F.regexp_replace(_flat(F.col("text")), "[0-9]+", "9"), r"(?U)\s+", " ")
+    every = texts.select(F.trim(joined).alias("t")).mapInArrow(_counter(names), "gram string, n_all bigint")
     totals = every.groupBy("gram").agg(F.sum("n_all").alias("n_all")).collect()
     found = sorted((r.gram for r in totals if n_of[r.gram] >= 0.9 * r.n_all), key=lambda g: g.count(" "))
     kept: list[str] = []
@@ -105,7 +109,7 @@ def _without_footer(tokens: Column, footers: list[str]) -> Column:
         return tokens
     lo, hi = FOOTER_WORDS
     out = tokens
-    last = F.element_at(tokens, -1)
+    last = F.try_element_at(tokens, F.lit(-1))
     for k in range(hi, lo - 1, -1):
         own = [f for f in footers if f.count(" ") + 1 == k]
         if own:
@@ -157,25 +161,27 @@ def judged_texts(texts: DataFrame) -> DataFrame:
     """
     base = texts.select("item_id", "source", "text").filter(F.length(F.trim("text")) > 0)
     toks = _tokens(F.col("text"))
-    t = base.select("item_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), toks.alias("tokens"), "text")
-    t = t.withColumn("tokens", _bare(F.col("tokens"), F.size("tokens"))).filter(F.size("tokens") > 0)
-    footers = learned_footers(t.select("tokens"))
-    core = F.col("tokens")
+    t = base.select("item_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), toks.alias("tokens")).filter(F.size("tokens") > 0)
+    tail = F.slice("tokens", -F.least(F.size("tokens"), F.lit(TAIL)), TAIL)
+    t = stage(t.select("item_id", "source", "n_chars", "n_bytes", F.size("tokens").alias("n_tokens"), tail.alias("tail")), "tails")
+    t = t.withColumn("tail", _bare(F.col("tail"), F.size("tail"))).filter(F.size("tail") > 0)
+    footers = learned_footers(base, t)
+    facts = t.withColumn("core", F.col("tail"))
     for _ in range(2):
-        core = _without_footer(core, footers)
-        core = _bare(core, F.size(core))
-    facts = t.select("item_id", "source", "n_chars", "n_bytes", (F.size("tokens")).alias("n_tokens"), core.alias("core"))
-    last = F.element_at("core", -1)
+        facts = facts.withColumn("core", _without_footer(F.col("core"), footers)).withColumn("core", _bare(F.col("core"), F.size("core")))
+    facts = facts.withColumn("left", F.col("n_tokens") - F.size("tail") + F.size("core"))
+    last = F.try_element_at("core", F.lit(-1))
     # a mark that stands alone after the text, or an ellipsis of dots, hides the last word
     lone = ~last.rlike(r"[\p{L}\p{N}]")
     hanging = F.coalesce(last.rlike("[…�,;:(\\[]\\z") | (lone & ~last.rlike(_STOP)), F.lit(False))
     stop = F.coalesce(last.rlike(_STOP), F.lit(False)) & ~F.coalesce(last.rlike(r"\.\.+\z"), F.lit(False)) | F.coalesce(last == _TELETYPE_STOP, F.lit(False))
-    words = _words(F.array_join(F.slice("core", -F.least(F.size("core"), F.lit(8)), 8), " "))
+    some = F.when(F.size("core") > 0, F.slice("core", -F.least(F.size("core"), F.lit(8)), 8)).otherwise(F.array().cast("array<string>"))
+    words = _words(F.array_join(some, " "))
     padded = F.concat(F.array(F.lit(_END), F.lit(_END)), words)
     facts = facts.select(
-        "item_id", "source", "n_chars", "n_bytes", (F.size("core") == F.col("n_tokens")).alias("bare"),
-        ((F.size("core") > NOTE_WORDS) | stop).alias("is_text"), hanging.alias("hanging"), stop.alias("stop"),
-        F.element_at(padded, -3).alias("u"), F.element_at(padded, -2).alias("v"), F.element_at(padded, -1).alias("w"),
+        "item_id", "source", "n_chars", "n_bytes", (F.size("core") == F.size("tail")).alias("bare"),
+        ((F.col("left") > NOTE_WORDS) | stop).alias("is_text"), hanging.alias("hanging"), stop.alias("stop"),
+        F.try_element_at(padded, F.lit(-3)).alias("u"), F.try_element_at(padded, F.lit(-2)).alias("v"), F.try_element_at(padded, F.lit(-1)).alias("w"),
     )
     facts = stage(facts, "endings")
 
