@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mishaplens.operators.skew import heavy_keys, split_join
@@ -78,10 +80,11 @@ def learned_footers(texts: DataFrame, tails: DataFrame) -> list[str]:
     n_texts = tails.count()
     rows = counted.filter(F.col("n") >= max(FOOTER_TEXTS, n_texts // FOOTER_PART) // 4).collect()  # bounded by FOOTER_PART
     n_of = {r.gram: r.n for r in rows}
+    closes = re.compile(_STOP.replace(r"\z", r"\Z"))
     wider: dict[str, int] = {}
     for gram, n in n_of.items():
         cut = gram.split(" ", 1)
-        if len(cut) == 2:
+        if len(cut) == 2 and not closes.search(cut[0]):
             wider[cut[1]] = max(wider.get(cut[1], 0), n)
     least = max(FOOTER_TEXTS, n_texts // FOOTER_PART)
     names = []
@@ -89,6 +92,8 @@ def learned_footers(texts: DataFrame, tails: DataFrame) -> list[str]:
         k = gram.count(" ") + 1
         if n < least or not lo <= k <= hi or (k < hi and wider.get(gram, 0) >= 0.5 * n) or n_of.get(gram[:-1], 0) * 5 > n:
             continue
+        if any(closes.search(w) for w in gram.split(" ")[:-1]):  # a sentence ends in it
+            continue
         names.append(gram)
     if not names:
         return []
