@@ -57,7 +57,7 @@ def shorten(c: Column, limit: int, mark: str = "...") -> Column:
 
 
 def one_decimal(c: Column) -> Column:
-    return F.format_number(c, "0.0")
+    return F.call_function("format_number", c, F.lit("0.0"))
 
 
 def truthy(c: Column, kind: str = "text") -> Column:
