@@ -102,7 +102,8 @@ def learned_footers(texts: DataFrame, tails: DataFrame) -> list[str]:
     totals = every.groupBy("gram").agg(F.sum("n_all").alias("n_all")).collect()
     found = sorted((r.gram for r in totals if n_of[r.gram] >= 0.9 * r.n_all), key=lambda g: g.count(" "))
     kept: list[str] = []
-    for g in found:  # the shortest of those that end alike
+    for g in found:  # the shortest of those that end alike; a break before one is not part of it
+        g = g.removeprefix(_BREAK + " ")
         if not any(g.endswith(" " + s) for s in kept):
             kept.append(g)
     return kept
