@@ -30,7 +30,7 @@ def scored(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
     if len(queries) > MAX_QUERIES:
         raise ValueError("too many query vectors for one batch")
     ids = np.array(sorted(queries), "int64")
-    q = np.array([queries[i] for i in ids.tolist()], "f8").reshape(len(ids), -1)
+    q = np.array([queries[i] for i in ids.tolist()], "f8").reshape(len(ids), -1 if len(ids) else 1)
     norms = np.sqrt((q * q).sum(1, keepdims=True))
     q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
 
