@@ -127,12 +127,12 @@ def _without_footer(tokens: Column, footers: list[str]) -> Column:
 def _trigrams(words: Column) -> Column:
     """Each word with the two before it and whether a sentence ends after it; the last word only if it does."""
     pad = F.array(F.lit(_END))
-    n = F.size(words)
+    n = F.greatest(F.size(words), F.lit(1))
     return F.arrays_zip(
         F.slice(words, 1, n - 1).alias("w"),
         F.slice(F.concat(pad, words), 1, n - 1).alias("v"),
         F.slice(F.concat(pad, pad, words), 1, n - 1).alias("u"),
-        F.slice(words, 2, F.greatest(n - 1, F.lit(0))).alias("x"),
+        F.slice(words, 2, n - 1).alias("x"),
     )
 
 
@@ -191,7 +191,7 @@ def judged_texts(texts: DataFrame) -> DataFrame:
     )
     facts = stage(facts, "endings")
 
-    seen = base.select(_words(_flat(F.col("text"))).alias("words")).filter(F.size("words") > 1).select(F.explode(_trigrams(F.col("words"))).alias("g")).select("g.*")
+    seen = base.select(_words(_flat(F.col("text"))).alias("words")).select(F.explode(_trigrams(F.col("words"))).alias("g")).select("g.*")
     grams = (
         seen.filter((F.col("w") != _END) & F.col("w").isNotNull())
         .select(F.when(F.col("v") == _END, F.lit(_END)).otherwise(F.col("u")).alias("u"), "v", "w", (F.col("x") == _END).cast("int").alias("e"), F.length("w").alias("c"))
