@@ -15,6 +15,8 @@ PART_ROWS, MAX_PARTS = 2000, 1024
 SAMPLE_PER_PART, MAX_SAMPLE = 160, 60_000
 #: Rows of one side that a task compares at a time; parts with more are cut into cells.
 CELL_ROWS = 20_000
+#: Cosines that differ by less are equal.
+TIE = np.float32(1e-6)
 
 
 @dataclass
@@ -146,25 +148,25 @@ def _compared(k: int, dim: int, least: float | None):
         kept, asked = np.flatnonzero(pdf["kept"].to_numpy()), np.flatnonzero(pdf["asked"].to_numpy())
         base, bids, bown = x[kept], ids[kept], owner[kept]
         found = []
-        for lo in range(0, len(asked) if len(kept) else 0, 512):
-            q = asked[lo : lo + 512]
+        for lo in range(0, len(asked) if len(kept) else 0, 256):
+            q = asked[lo : lo + 256]
             s = x[q] @ base.T
             if least is None:
                 s[(ids[q][:, None] == bids) | ((owner[q][:, None] == bown) & (bown != 0))] = -2
-                top = np.argpartition(s, max(0, s.shape[1] - k), 1)[:, -k:]
-                r, c = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+                low = np.partition(s, max(0, s.shape[1] - k), 1)[:, max(0, s.shape[1] - k)]
+                r, c = np.nonzero(s >= np.maximum(low - TIE, -1.5)[:, None])  # all that tie with the last
                 v = s[r, c]
                 ok = v > -1.5
             else:
                 r, c = np.nonzero(s >= np.float32(least - 1e-4))
                 v = s[r, c]
                 ok = (ids[q][r] != bids[c]) & ((owner[q][r] != bown[c]) | (bown[c] == 0))
-            r, c, v = r[ok], c[ok], v[ok]
+            r, c, v = r[ok], c[ok], np.round(v[ok].astype("f8"), 6)
             order = np.lexsort((bids[c], -v, r))
             r, c, v = r[order], c[order], v[order]
             place = np.arange(len(r)) - np.searchsorted(r, r)
             best = place < k
-            found.append((ids[q][r[best]], bids[c[best]], v[best].astype("f8")))
+            found.append((ids[q][r[best]], bids[c[best]], v[best]))
         a, b, v = (np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
         return pd.DataFrame({"entry_id": a, "neighbour_id": b, "cosine": v})
 

@@ -43,7 +43,27 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+def longest_first(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """The longest length that fits, again and again: what first fit by falling length puts into a bin."""
+    out: list[int] = []
+    for x in lengths:
+        n = min(counts[x], room // x)
+        out += [x] * n
+        room -= n * x
+    return out
+
+
+def plan_best(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """The plan by minimum bin slack; where it needs more bins than the total size, that by first fit too, and the one with fewer bins of the two."""
+    plan = plan_bins(histogram, capacity)
+    bins = sum(n for n, _ in plan)
+    if bins * capacity - sum(x * n for x, n in histogram.items()) < capacity:
+        return plan
+    other = plan_bins(histogram, capacity, longest_first)
+    return other if sum(n for n, _ in other) < bins else plan
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, fill=fullest) -> list[tuple[int, list[int]]]:
     """Bins as (how many alike, lengths in one), by minimum bin slack over a histogram of lengths.
 
     Each bin starts with the longest item left and is then filled as full as
@@ -57,7 +77,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[
     while lengths:
         x = lengths[0]
         counts[x] -= 1
-        rest = fullest(lengths, counts, capacity - x)
+        rest = fill(lengths, counts, capacity - x)
         counts[x] += 1
         combo = [x, *rest]
         need: dict[int, int] = {}
@@ -96,7 +116,7 @@ def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> Data
     Null, zero and negative sizes take no room and stand in bin 1. Rows with
     a null id are not items. No items give no rows.
 
-    Method: minimum bin slack on the histogram of sizes (of rests, for longer
+    Method: minimum bin slack (plan_best) on the histogram of sizes (of rests, for longer
     items), which has at most one entry per unit of capacity however many
     items there are. The items themselves stay distributed: each gets its
     rank among those of its size, from counts by (size, hash group) and a
@@ -120,7 +140,7 @@ def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> Data
         for x, part, n in own:
             before[label, x, part] = histogram.get(x, 0)
             histogram[x] = histogram.get(x, 0) + n
-        tables[label], n_bins = slots(plan_bins(histogram, cap))
+        tables[label], n_bins = slots(plan_best(histogram, cap))
         full[label] = (max(n_bins, 1) if not full.get(label) else n_bins, full.get(label) or 0)
     offsets = {}
     for label in capacities:
