@@ -121,3 +121,41 @@ def run_agent(kb: KnowledgeBase, chat: Chat, user_query: str) -> dict:
         messages.append({"role": "tool", "name": c.name, "content": json.dumps(results)})
     summary, _ = chat(messages, None)
     return {"generated_report": report, "tool_results": results, "final_summary": summary}
+
+
+# Queries to validate a knowledge base with, and the words one of which its first causes should hold.
+VALIDATION_CASES = (
+    ("Engine fire during takeoff", ("engine", "fire", "power", "turbine", "fuel")),
+    ("Turbulence encounter during cruise flight", ("turbulence", "weather", "convective", "environmental")),
+    ("Landing gear collapsed during landing", ("landing gear", "mechanical", "failure", "collapse")),
+    ("Loss of engine power in flight", ("engine", "power", "fuel", "mechanical")),
+    ("Bird strike on approach", ("bird", "wildlife", "animal", "environmental")),
+)
+
+
+def relevant_themes(causes_found: list[str], themes) -> list[str]:
+    """For each of the first five causes the first theme it contains, ignoring case; causes without one give none."""
+    out = []
+    for c in causes_found[:5]:
+        hit = next((t for t in themes if t.lower() in (c or "").lower()), None)
+        if hit:
+            out.append(hit)
+    return out
+
+
+def validate(kb: KnowledgeBase, cases=VALIDATION_CASES, path: str | None = None) -> dict:
+    """Diagnose each case and see whether its themes occur; a failure is a result, not an end. Optionally written as JSON."""
+    rows = []
+    for text, themes in cases:
+        try:
+            got = diagnose_root_causes(kb, text)
+            hits = relevant_themes([c["cause"] for c in got["top_causes"]], themes)
+            meta = got["diagnosis_metadata"]
+            rows.append({"test_case": text, "passed": bool(hits), "incidents_analyzed": meta["incidents_analyzed"], "causes_found": meta["total_causes_found"], "relevant_themes": hits})
+        except Exception as e:  # noqa: BLE001
+            rows.append({"test_case": text, "passed": False, "error": str(e)})
+    out = {"results": rows, "pass_rate": sum(r["passed"] for r in rows) / len(rows) if rows else 0.0}
+    if path:
+        with open(path, "w") as f:
+            json.dump(out, f, indent=2)
+    return out

@@ -181,3 +181,11 @@ def test_agent(spark, tmp_path):
         agent.run_agent(base, chat, "")
 
 
+def test_validation(spark, tmp_path):
+    base = kb(spark, tmp_path / "kb")
+    got = agent.validate(base, [("x", ("LATE",)), ("y", ("nothing",))], str(tmp_path / "v.json"))
+    assert [r["passed"] for r in got["results"]] == [True, False] and got["pass_rate"] == 0.5
+    assert json.loads((tmp_path / "v.json").read_text()) == got
+    missing = agent.validate(agent.KnowledgeBase(spark, str(tmp_path / "no"), lambda t: [1.0]), [("x", ("a",))])
+    assert "missing" in missing["results"][0]["error"]
+    assert agent.relevant_themes(["Fuel starvation", None, "wind"], ("fuel", "engine")) == ["fuel"]
