@@ -65,7 +65,7 @@ WITH refs AS (
 _FIELD_RE = '("([^"]|"")*"|[^\\t"]*)'
 
 
-def _p7_sql() -> str:
+def _p7_ctes() -> str:
     date = lambda y, m, dd: (
         f"(try_cast({y} AS INT) >= 1 AND try_cast({m} AS INT) BETWEEN 1 AND 12 AND try_cast({dd} AS INT) BETWEEN 1 AND "
         f"CASE WHEN try_cast({m} AS INT) = 2 THEN CASE WHEN try_cast({y} AS INT) % 400 = 0 OR (try_cast({y} AS INT) % 4 = 0 AND try_cast({y} AS INT) % 100 <> 0) THEN 29 ELSE 28 END "
@@ -92,11 +92,31 @@ fields AS (
     WHEN 'iso_date' THEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND {date('v[1:4]', 'v[6:7]', 'v[9:10]')}
     WHEN 'free' THEN NOT regexp_matches(v, '[\\x{{FFFD}}\\x7f\\x00-\\x08\\x0b-\\x1f]') END, false) END
 )
+"""
+
+
+_P7_FOUND = """
 SELECT line_id, CASE WHEN f IS NULL THEN 'quoting' WHEN k IS NULL OR len(f) <> k THEN 'columns' ELSE 'bad_value' END AS reason
 FROM cut LEFT JOIN wide USING (file_label)
 WHERE f IS NULL OR k IS NULL OR len(f) <> k OR line_id IN (SELECT line_id FROM bad)
 """
 
+# The typed columns of each file.
+_P7_COLUMNS = {
+    "events_sequence.txt": "ev_id aircraft_key:INT occurrence_no:INT occurrence_code occurrence_description phase_no eventsoe_no:INT defining_ev:INT lchg_date:DATE",
+    "occurrences.txt": "ev_id aircraft_key:INT occurrence_no:INT occurrence_code phase_of_flight altitude_ft:INT lchg_date:DATE",
+    "seq_of_events.txt": "ev_id aircraft_key:INT occurrence_no:INT seq_event_no:INT subject_note cause_factor modifier_code lchg_date:DATE",
+}
+
+
+def _p7_valid_sql(label: str) -> str:
+    cols = []
+    for i, c in enumerate(_P7_COLUMNS[label].split(), 1):
+        name, _, kind = c.partition(":")
+        cols.append(f"nullif(max(v) FILTER (WHERE col_no = {i}), '')::{kind or 'VARCHAR'} AS {name}")
+    return _p7_ctes() + f"""SELECT line_id, line_no, {', '.join(cols)} FROM fields JOIN raw_lines USING (line_id, file_label)
+WHERE file_label = '{label}' AND line_id NOT IN (SELECT line_id FROM bad) GROUP BY 1, 2"""
+
 
 SQL = {
     "p1_found": _P1 + "SELECT DISTINCT child_table, ev_id, lchg_month FROM judged WHERE orphan",
@@ -104,5 +124,6 @@ SQL = {
     + """SELECT child_table, lchg_month, count(*) AS n_references, count(*) FILTER (WHERE orphan) AS n_orphans,
   count(*) FILTER (WHERE unknown) AS n_without_parent, count(DISTINCT ev_id) FILTER (WHERE orphan) AS n_orphan_keys
   FROM judged GROUP BY 1, 2""",
-    "p7_found": _p7_sql(),
+    "p7_found": _p7_ctes() + _P7_FOUND,
+    **{f"p7_valid_{label.removesuffix('.txt')}": _p7_valid_sql(label) for label in _P7_COLUMNS},
 }
