@@ -118,9 +118,9 @@ def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> Data
 
     Method: minimum bin slack (plan_best) on the histogram of sizes (of rests, for longer
     items), which has at most one entry per unit of capacity however many
-    items there are. The items themselves stay distributed: each gets its
-    rank among those of its size, from counts by (size, hash group) and a
-    rank within the group, so one size with a third of all items is still
+    items there are; only that histogram comes to the driver. The items stay
+    distributed: each gets its rank among those of its size, from counts by
+    (size, hash group) and a rank within the group, so one size with a third of all items is still
     cut into ``groups``; its bin follows from the rank. Ties go by id.
     """
     spark = items.sparkSession
@@ -131,45 +131,36 @@ def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> Data
     rest = sized.select("*", F.explode(limits).alias("l")).select("item_id", "size", "l.*")
     rest = rest.withColumn("n_full", F.expr("size div capacity")).withColumn("rest", F.col("size") % F.col("capacity"))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(groups)).cast("int"))
-    counts = rest.groupBy("limit_label", "rest", "part").agg(F.count("*").alias("n")).collect()  # at most capacity x groups rows
+    slot = ["limit_label", "rest", "part"]
+    counts = rest.groupBy(*slot).agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("limit_label", "rest").agg(F.sum("n").alias("n")).collect()  # at most one row per unit of capacity
     full = {r.limit_label: r.n for r in rest.groupBy("limit_label").agg(F.sum("n_full").alias("n")).collect()}
-    tables, before = {}, {}
+    tables = {}
     for label, cap in capacities.items():
-        own = sorted((r.rest, r.part, r.n) for r in counts if r.limit_label == label)
-        histogram: dict[int, int] = {}
-        for x, part, n in own:
-            before[label, x, part] = histogram.get(x, 0)
-            histogram[x] = histogram.get(x, 0) + n
-        tables[label], n_bins = slots(plan_best(histogram, cap))
+        tables[label], n_bins = slots(plan_best({r.rest: r.n for r in sizes if r.limit_label == label}, cap))
         full[label] = (max(n_bins, 1) if not full.get(label) else n_bins, full.get(label) or 0)
-    offsets = {}
-    for label in capacities:
-        keys = sorted(k[1:] for k in before if k[0] == label)
-        offsets[label] = (np.array([x * groups + p for x, p in keys], "int64"), np.array([before[(label, *k)] for k in keys], "int64"))
-    shared = spark.sparkContext.broadcast((tables, offsets))
+    shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf("bigint")
-    def bin_of(label, x, part, local):
+    def bin_of(label, x, rank):
         import pandas as pd
 
         out = np.ones(len(x), "int64")
-        tabs, offs = shared.value
         for one in label.unique():
             at = np.flatnonzero((label == one).to_numpy() & (x > 0).to_numpy())
-            if not len(at):
-                continue
-            t, (codes, start) = tabs[one], offs[one]
-            xs = x.to_numpy()[at]
-            rank = local.to_numpy()[at] + start[np.searchsorted(codes, xs * groups + part.to_numpy()[at])]
-            row = _row(t, xs, rank)
-            out[at] = t[row, 3] + (rank - t[row, 1]) // t[row, 2]
+            if len(at):
+                t, r = shared.value[one], rank.to_numpy()[at]
+                row = _row(t, x.to_numpy()[at], r)
+                out[at] = t[row, 3] + (r - t[row, 1]) // t[row, 2]
         return pd.Series(out)
 
-    local = F.row_number().over(Window.partitionBy("limit_label", "rest", "part").orderBy("item_id")) - 1
-    ranked = rest.withColumn("local", local.cast("bigint"))
+    before = F.sum("n").over(Window.partitionBy("limit_label", "rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*slot, F.coalesce(before, F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy(*slot).orderBy("item_id")) - 1
+    ranked = rest.withColumn("local", local.cast("bigint")).join(offsets, slot).withColumn("rank", F.col("local") + F.col("before"))
     rests = ranked.filter((F.col("rest") > 0) | (F.col("n_full") == 0)).select(
         "limit_label", "item_id", (F.col("n_full") + 1).alias("piece_no"), (F.col("n_full") * F.col("capacity")).alias("start"), F.col("rest").alias("size"),
-        bin_of("limit_label", "rest", "part", "local").alias("bin_no"),
+        bin_of("limit_label", "rest", "rank").alias("bin_no"),
     )
     if not any(f for _, f in full.values()):
         return rests
