@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from mishaplens.llm.router import Router, balanced_parts, neighbour_graph
 
-#: Vectors of a part, on average; and parts, at most.
-PART_ROWS, MAX_PARTS = 2000, 1024
+#: Vectors of a part, on average; parts of the first level, at most, and of a part of it on the second.
+PART_ROWS, MAX_PARTS, MAX_INNER = 2000, 1024, 64
 #: Vectors of the sample the parts are learned from, per part and at most.
 SAMPLE_PER_PART, MAX_SAMPLE = 160, 60_000
 #: Rows of one side that a task compares at a time; parts with more are cut into cells.
@@ -21,12 +21,43 @@ TIE = np.float32(1e-6)
 
 @dataclass
 class Index:
-    """What executors need to place a vector: the classifier, how far below the best part a part is still searched, and the cells of each part."""
+    """What executors need to place a vector: the classifier, those inside its parts if there are two levels, how far below the best part a part is still searched, and the cells of each part."""
 
     router: Router | None
     margin: float
     base_cells: np.ndarray
     query_cells: np.ndarray
+    inner: dict[int, Router] | None = None
+    n_inner: int = 1
+
+    def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, part, whether it is the row's own part) of all parts to search for unit vectors."""
+        if self.router is None:
+            return np.arange(len(x)), np.zeros(len(x), "int64"), np.ones(len(x), bool)
+        odds = _log_shares(self.router.log_odds(x))
+        row, part = np.nonzero(odds >= odds.max(1, keepdims=True) - self.margin)
+        score = odds[row, part]
+        if self.inner is not None:
+            rows, parts, scores = [], [], []
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                sub = self.inner.get(p)
+                more = _log_shares(sub.log_odds(x[row[at]])) if sub else np.zeros((len(at), 1), "f4")
+                i, j = np.nonzero(more >= more.max(1, keepdims=True) - self.margin)
+                rows.append(row[at[i]]), parts.append(p * self.n_inner + j), scores.append(score[at[i]] + more[i, j])
+            row, part, score = map(np.concatenate, (rows, parts, scores))
+            best = np.full(len(x), -np.inf, "f4")
+            np.maximum.at(best, row, score)
+            keep = score >= best[row] - self.margin
+            row, part, score = row[keep], part[keep], score[keep]
+        order = np.lexsort((part, -score, row))
+        row, part = row[order], part[order]
+        return row, part.astype("int64"), np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+
+
+def _log_shares(odds: np.ndarray) -> np.ndarray:
+    z = odds - odds.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -57,37 +88,85 @@ def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return rows.groupBy("entry_id").agg(F.min("vec").alias("vec"))
 
 
-def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Index:
-    """Learn the parts from a sample bounded by MAX_SAMPLE; their number follows the number of vectors.
+def _learned(x: np.ndarray, parts: int, seed: int, **how) -> Router:
+    graph = neighbour_graph(x, 10)
+    return Router.fit(x, graph, balanced_parts(graph, parts, seed), parts, seed=seed, **how)
+
+
+def _unpacked(vecs, dim: int) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(bytes(v) for v in vecs), "<i2").reshape(-1, dim).astype("f4"))
+
+
+def _sampled(vectors: DataFrame, dim: int, share: float, seed: int) -> DataFrame:
+    return usable_vectors(vectors.filter(F.pmod(F.xxhash64("entry_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))), dim)
 
-    The sample's rows (by a hash of the id) give the neighbour graph, its
-    balanced cut and the training rows. All vectors are later placed by the
-    classifier. The shares of the parts in the sample only decide into how
-    many cells the work on a part is cut.
+
+def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Index:
+    """Learn the parts from samples; their number follows the number of vectors.
+
+    The sample's rows (by a hash of the id, MAX_SAMPLE at most) give the
+    neighbour graph, its balanced cut and the training rows. All vectors are
+    later placed by the classifier. Where MAX_PARTS parts would be too large,
+    each is cut again in the same way, by a sample of its own on the
+    executors; these classifiers are small and bounded in number. The shares
+    of the parts in the samples only decide into how many cells the work on a
+    part is cut.
     """
     n = vectors.count()
-    parts = 1
+    parts = inner = 1
     while parts < MAX_PARTS and n / parts > 1.5 * PART_ROWS:
         parts *= 2
-    one = np.ones(1, "int64")
-    cells = np.maximum(one, -(-n // CELL_ROWS))
+    while inner < MAX_INNER and n / (parts * inner) > 1.5 * PART_ROWS:
+        inner *= 2
+    whole = np.full(1, max(1, -(-n // CELL_ROWS)), "int64")
     if parts == 1:
-        return Index(None, margin, cells, cells)
+        return Index(None, margin, whole, whole)
     wanted = min(MAX_SAMPLE, max(4000, SAMPLE_PER_PART * parts))
-    share = min(1.0, wanted / n)
-    picked = vectors.filter(F.pmod(F.xxhash64("entry_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    packed = usable_vectors(picked, dim).limit(2 * MAX_SAMPLE).toPandas().sort_values("entry_id")
-    if len(packed) < 4 * parts:
-        return Index(None, margin, cells, cells)
-    x = _unit(np.frombuffer(b"".join(bytes(v) for v in packed["vec"]), "<i2").reshape(-1, dim).astype("f4"))
-    graph = neighbour_graph(x, 10)
-    router = Router.fit(x, graph, balanced_parts(graph, parts, seed), parts, seed=seed)
-    odds = router.log_odds(x)
+    picked = _sampled(vectors, dim, wanted / n, seed).limit(2 * MAX_SAMPLE).toPandas().sort_values("entry_id")
+    if len(picked) < 4 * parts:
+        return Index(None, margin, whole, whole)
+    x = _unpacked(picked["vec"], dim)
+    index = Index(_learned(x, parts, seed), margin, whole, whole)
+    if inner > 1:
+        index.inner, index.n_inner = _inner_routers(vectors, dim, index, parts, inner, n, seed), inner
+    row, part, own = index.locate(x)
     grown = n / len(x)
-    kept = np.bincount(odds.argmax(1), minlength=parts) * grown
-    asked = (odds >= odds.max(1, keepdims=True) - margin).sum(0) * grown
-    up = lambda v: np.maximum(1, np.ceil(v / CELL_ROWS)).astype("int64")
-    return Index(router, margin, up(kept), up(asked))
+    up = lambda v: np.maximum(1, np.ceil(v * grown / CELL_ROWS)).astype("int64")
+    index.base_cells = up(np.bincount(part[own], minlength=parts * inner))
+    index.query_cells = up(np.bincount(part, minlength=parts * inner))
+    return index
+
+
+def _inner_routers(vectors: DataFrame, dim: int, index: Index, parts: int, inner: int, n: int, seed: int) -> dict[int, Router]:
+    """A classifier inside each part, fitted where the part's sample is."""
+    each = max(1000, SAMPLE_PER_PART * inner)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
+
+    def parted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                row, part, own = shared.value.locate(_unpacked(b.column(1).to_pylist(), dim))
+                yield pa.RecordBatch.from_arrays([pa.array(part[own]), b.column(0), b.column(1)], names=["part", "entry_id", "vec"])
+
+    def fit(pdf):
+        import pickle
+
+        import pandas as pd
+
+        pdf = pdf.sort_values("entry_id").head(4 * each)  # a sample is a sample; all vectors are placed later
+        part = int(pdf["part"].iloc[0])
+        if len(pdf) < 4 * inner:
+            return pd.DataFrame({"part": [], "weights": []})
+        r = _learned(_unpacked(pdf["vec"], dim), inner, seed + part, hidden=64)
+        return pd.DataFrame({"part": [part], "weights": [pickle.dumps(r.weights)]})
+
+    sample = _sampled(vectors, dim, parts * each / n, seed + 1).mapInArrow(parted, "part bigint, entry_id bigint, vec binary")
+    import pickle
+
+    found = sample.groupBy("part").applyInPandas(fit, "part bigint, weights binary").collect()  # at most MAX_PARTS small models
+    return {r.part: Router(pickle.loads(bytes(r.weights))) for r in found}
 
 
 def _placed(index: Index, dim: int):
@@ -100,16 +179,9 @@ def _placed(index: Index, dim: int):
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = _unit(np.frombuffer(b"".join(b.column(2).to_pylist()), "<i2").reshape(-1, dim).astype("f4"))
-            if index.router is None:
-                row, part = np.arange(len(x)), np.zeros(len(x), "int64")
-                home = part
-            else:
-                odds = index.router.log_odds(x)
-                home = odds.argmax(1)
-                row, part = np.nonzero(odds >= odds.max(1, keepdims=True) - index.margin)
-            own = part == home[row]
-            spread = (ids * 0x9E3779B97F4A7C15 % (1 << 62)) >> 20 if ids.dtype == "O" else (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype("int64")
+            x = _unpacked(b.column(2).to_pylist(), dim)
+            row, part, own = index.locate(x)
+            spread = (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype("int64")
             nb, nq = index.base_cells[part], index.query_cells[part]
             i0, j0 = spread[row] % nb, spread[row] % nq
             at, i, j, keep, ask = [], [], [], [], []
@@ -143,7 +215,7 @@ def _compared(k: int, dim: int, least: float | None):
     def run(pdf):
         import pandas as pd
 
-        x = _unit(np.frombuffer(b"".join(pdf["vec"]), "<i2").reshape(-1, dim).astype("f4"))
+        x = _unpacked(pdf["vec"], dim)
         ids, owner = pdf["entry_id"].to_numpy("int64"), pdf["owner"].fillna(0).to_numpy("int64")
         kept, asked = np.flatnonzero(pdf["kept"].to_numpy()), np.flatnonzero(pdf["asked"].to_numpy())
         base, bids, bown = x[kept], ids[kept], owner[kept]

@@ -63,6 +63,22 @@ def test_learned_parts_and_cells(spark, monkeypatch):
         assert hit / (5 * len(x)) >= 0.97
 
 
+def test_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(nb, "PART_ROWS", 100)
+    monkeypatch.setattr(nb, "MAX_PARTS", 4)
+    monkeypatch.setattr(nb, "SAMPLE_PER_PART", 60)
+    x = clusters(2400, 16, 4, noise=0.2)
+    want, _ = brute_fast(x, 5)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "entry_id long, embedding array<float>")
+    index = nb.fit_index(v, 16, 1.5)
+    assert index.n_inner == 4 and len(index.inner) == 4
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    row, part, own = index.locate(unit)
+    assert (row[own] == np.arange(len(x))).all() and len(np.unique(part[own])) > 8 and len(row) < 10 * len(x)
+    got = run(spark, x, [None] * len(x), margin=1.5)
+    assert sum(len(set(got[i]) & set(want[i])) for i in range(len(x))) / (5 * len(x)) >= 0.9
+
+
 def brute_fast(x, k):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
