@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mishaplens.functions.text import one_line
-from mishaplens.operators import causes, entries, retrieval
+from mishaplens.operators import entries, retrieval
 from mishaplens.sources.tables import missing_inputs, setting, table
 
 # The tool as a chat service is told of it.
@@ -65,15 +65,14 @@ class KnowledgeBase:
 
     def scores(self, text: str) -> DataFrame:
         self._need()
-        return retrieval.scored(retrieval.usable(self._t("entry_vectors"), self.dim), {0: self.vector(text)})
+        return retrieval.scored(self._t("entry_vectors"), {0: self.vector(text)})
 
     def entries(self) -> DataFrame:
         return entries.mapped_entries(self._t("embeddings_map"))
 
     def pairs(self, top: DataFrame) -> DataFrame:
-        known = self._t("incident_events").select(F.nullif(F.upper(F.trim("ev_id")), F.lit("")).alias("ev_id"))
-        occurrences = causes.combined_causes(self._t("findings"), self._t("narratives"), known)
-        return retrieval.evidence(top, self.entries(), causes.incident_causes(occurrences))
+        ranked = retrieval.ranked_incidents(top, self._t("embeddings_map"))
+        return retrieval.evidence(ranked, *[self._t(t) for t in ("findings", "narratives", "incident_events")])
 
 
 def diagnose_root_causes(kb: KnowledgeBase, query: str, top_n: int = 10) -> dict:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from mishaplens.operators.causes import combined_causes, incident_causes
+from mishaplens.operators.entries import mapped_entries
+from mishaplens.operators.incidents import keyed
 from mishaplens.operators.skew import heavy_keys, split_join
+from mishaplens.session import stage
 
 #: A query vector comes from the driver; a batch of them is bounded.
 MAX_QUERIES = 10_000
@@ -13,19 +17,26 @@ MAX_QUERIES = 10_000
 SCORE_CELLS = 4_000_000
 
 
-def usable(vectors: DataFrame, dim: int) -> DataFrame:
-    """One vector per entry, of ``dim`` finite numbers that are not all zero."""
+def usable_rows(vectors: DataFrame, dim: int) -> DataFrame:
+    """Rows whose vector has ``dim`` finite numbers that are not all zero; repeated rows stay."""
     e = F.col("embedding")
     ok = (F.size(e) == dim) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.filter(F.coalesce(ok, F.lit(False)) & F.col("entry_id").isNotNull()).groupBy("entry_id").agg(F.min("embedding").alias("embedding"))
+    return vectors.filter(F.coalesce(ok, F.lit(False)) & F.col("entry_id").isNotNull())
+
+
+def usable(vectors: DataFrame, dim: int) -> DataFrame:
+    """One vector per entry; of differing ones the least."""
+    return usable_rows(vectors, dim).groupBy("entry_id").agg(F.min("embedding").alias("embedding"))
 
 
 def scored(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
-    """(query_id, entry_id, score): cosine of every vector with every query vector, in double.
+    """(query_id, entry_id, score): cosine of every usable vector with every query vector, in double.
 
     The query vectors travel with the task; the vectors are scanned once and
-    never shuffled. Rows of equal vectors get equal scores, as every row is
-    summed in the same order. A zero vector scores 0.
+    never shuffled, and rows that are not usable are left out on the way. An
+    entry with several rows counts once, with its best score. Rows of equal
+    vectors get equal scores, as every row is summed in the same order. A
+    query vector of zeros scores 0.
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError("too many query vectors for one batch")
@@ -36,22 +47,28 @@ def scored(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        dim = q.shape[1]
         for b in batches:
+            full = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False), pc.is_valid(b.column(0)))
+            b = b.filter(full)
             if not b.num_rows or not len(ids):
                 continue
             entry = b.column(0).to_numpy(zero_copy_only=False)
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype("f8")
-            n = np.sqrt((x * x).sum(1, keepdims=True))
-            x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-            step = max(1, SCORE_CELLS // max(1, b.num_rows))
-            for lo in range(0, len(ids), step):
+            n = np.sqrt((x * x).sum(1))
+            good = np.isfinite(x).all(1) & (n > 0)
+            entry, x = entry[good], x[good] / n[good, None]
+            step = max(1, SCORE_CELLS // max(1, len(entry)))
+            for lo in range(0, len(ids) if len(entry) else 0, step):
                 s = np.stack([(x * v).sum(1) for v in q[lo : lo + step]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[lo : lo + step], len(entry))), pa.array(np.tile(entry, len(s))), pa.array(s.ravel())], names=["query_id", "entry_id", "score"]
                 )
 
-    return vectors.select("entry_id", "embedding").mapInArrow(run, "query_id bigint, entry_id bigint, score double")
+    rows = vectors.select("entry_id", "embedding").mapInArrow(run, "query_id bigint, entry_id bigint, score double")
+    return rows.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
 
 
 def top_entries(scores: DataFrame, k: int = 50) -> DataFrame:
@@ -72,12 +89,27 @@ def best_per_incident(scores: DataFrame, entries: DataFrame) -> DataFrame:
     return s.groupBy("ev_id").agg(F.max("score").alias("score"), F.max_by("entry_id", F.struct("score", "entry_id")).alias("best_entry_id"))
 
 
-def evidence(top: DataFrame, entries: DataFrame, causes: DataFrame) -> DataFrame:
-    """(entry, cause) pairs of the ranked entries: the limit comes first, and entries of the dictionary or without causes are not replaced."""
-    own = entries.filter((F.col("source") == "incident") & F.col("ev_id").isNotNull()).select("entry_id", "ev_id")
-    few = F.broadcast(top)  # k rows a query
-    ranked = own.join(few, "entry_id")
-    return causes.join(F.broadcast(ranked), "ev_id")
+def ranked_incidents(top: DataFrame, embeddings_map: DataFrame) -> DataFrame:
+    """The ranked entries that belong to an incident: query_id, entry_id, score, rank, ev_id.
+
+    The limit comes first: entries of the dictionary are dropped and not
+    replaced. The result is small and read several times, so it is staged.
+    """
+    few = stage(top, "top_entries")
+    entry = mapped_entries(embeddings_map.join(F.broadcast(few.select("entry_id").distinct()), "entry_id", "left_semi"))
+    own = entry.filter((F.col("source") == "incident") & F.col("ev_id").isNotNull()).select("entry_id", "ev_id")
+    return stage(few.join(F.broadcast(own), "entry_id"), "ranked_incidents")
+
+
+def restricted(df: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Rows of the ranked incidents only: what follows then costs by the number of ranks, not of incidents."""
+    return keyed(df).join(F.broadcast(ranked.select("ev_id").distinct()), "ev_id", "left_semi")
+
+
+def evidence(ranked: DataFrame, findings: DataFrame, narratives: DataFrame, events: DataFrame) -> DataFrame:
+    """(entry, cause) pairs of the ranked incidents, each distinct non-empty cause of a known incident once per entry."""
+    occurrences = combined_causes(restricted(findings, ranked), restricted(narratives, ranked), restricted(events, ranked))
+    return incident_causes(occurrences).join(F.broadcast(ranked), "ev_id")
 
 
 def weighted_diagnosis(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -151,11 +151,15 @@ def _vectors(s, d):
 
 def _query_vectors(s, d, n):
     """The vectors of the first entries stand in for embedded query texts."""
-    return {i: list(r.embedding) for i, r in enumerate(_vectors(s, d).orderBy("entry_id").limit(n).collect())}
+    first = retrieval.usable_rows(table(s, d, "entry_vectors"), DIM).orderBy("entry_id", "embedding").limit(20 * n).collect()
+    found = {}
+    for r in first:
+        found.setdefault(r.entry_id, list(r.embedding))
+    return dict(enumerate(list(found.values())[:n]))
 
 
 def _scores(s, d, n=1):
-    return retrieval.scored(_vectors(s, d), _query_vectors(s, d, n))
+    return retrieval.scored(table(s, d, "entry_vectors"), _query_vectors(s, d, n))
 
 
 def _top(s, d):
@@ -163,7 +167,8 @@ def _top(s, d):
 
 
 def _pairs(s, d, top=None):
-    return retrieval.evidence(_top(s, d) if top is None else top, _entries(s, d), causes.incident_causes(_occurrences(s, d)))
+    ranked = retrieval.ranked_incidents(_top(s, d) if top is None else top, table(s, d, "embeddings_map"))
+    return retrieval.evidence(ranked, *[table(s, d, t) for t in ("findings", "narratives", "incident_events")])
 
 
 def _flags(s, d):

@@ -34,12 +34,12 @@ def test_negative_total_and_empty(spark):
 
 
 def test_limit_before_filter_and_entries_counted(spark):
-    e = spark.createDataFrame([(i, "dictionary", None) for i in range(50)] + [(50, "incident", "A"), (51, "incident", "A")], "entry_id long, source string, ev_id string")
+    e = spark.createDataFrame([(i, "dictionary", None) for i in range(50)] + [(50, "incident", "A"), (51, "incident", "A"), (51, "incident", "A")], "entry_id long, source string, ev_id string")
     s = spark.createDataFrame([(0, i, 1.0 - i / 100) for i in range(52)], "query_id long, entry_id long, score double")
-    c = spark.createDataFrame([("A", "x"), ("A", "y")], "ev_id string, cause string")
-    assert retrieval.evidence(retrieval.top_entries(s, 50), e, c).count() == 0
-    r = retrieval.weighted_diagnosis(retrieval.evidence(retrieval.top_entries(s, 52), e, c)).collect()
-    assert {(x.cause, x.num_incidents) for x in r} == {("x", 2), ("y", 2)} and r[0].supporting == ["A", "A"]
+    ev, na, _, _, fi, _ = fixture(spark)
+    assert retrieval.evidence(retrieval.ranked_incidents(retrieval.top_entries(s, 50), e), fi, na, ev).count() == 0
+    r = retrieval.weighted_diagnosis(retrieval.evidence(retrieval.ranked_incidents(retrieval.top_entries(s, 52), e), fi, na, ev)).collect()
+    assert {(x.cause, x.num_incidents) for x in r} == {("early", 2), ("late", 2), ("Loss of control in the turn", 2), ("Pilot did not see it", 2)} and r[0].supporting == ["A", "A"]
 
 
 def test_scores_and_ties(spark):
@@ -48,6 +48,7 @@ def test_scores_and_ties(spark):
     assert sorted(r.entry_id for r in u.collect()) == [1, 2]
     top = retrieval.top_entries(retrieval.scored(u, {0: [1.0, 0.0]}), 5).orderBy("rank").collect()
     assert [r.entry_id for r in top] == [2, 1] and top[0].score == 1.0
+    assert sorted(r.entry_id for r in retrieval.scored(v, {0: [1.0, 0.0]}).collect()) == [1, 2]
     assert retrieval.scored(u, {}).count() == 0 and retrieval.scored(u.limit(0), {0: [1.0, 0.0]}).count() == 0
 
 
