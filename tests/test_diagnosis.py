@@ -6,7 +6,7 @@ import pytest
 from mishaplens import agent, embedding, sinks
 from mishaplens.operators import causes, entries, incidents, profile, retrieval
 from mishaplens.sources import tables
-from mishaplens.streaming.incremental import embed_stream
+from mishaplens.streaming.incremental import embed_stream, windowed_counts
 
 DAY = dt.datetime(2020, 1, 1)
 
@@ -190,3 +190,13 @@ def test_validation(spark, tmp_path):
     missing = agent.validate(agent.KnowledgeBase(spark, str(tmp_path / "no"), lambda t: [1.0]), [("x", ("a",))])
     assert "missing" in missing["results"][0]["error"]
     assert agent.relevant_themes(["Fuel starvation", None, "wind"], ("fuel", "engine")) == ["fuel"]
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [(dt.datetime(2020, 1, 1, 3), "a"), (dt.datetime(2020, 1, 1, 9), "a"), (dt.datetime(2020, 1, 2, 1), "b")]
+    df = spark.createDataFrame(rows, "at timestamp, k string")
+    df.write.parquet(str(tmp_path / "in"))
+    q = windowed_counts(spark, str(tmp_path / "in"), df.schema, "at", "k").writeStream.outputMode("complete").format("memory").queryName("windowed").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.k, r.n) for r in spark.sql("select * from windowed").collect()) == [("a", 2), ("b", 1)]
