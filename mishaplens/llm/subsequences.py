@@ -30,27 +30,26 @@ class CodedTree:
 
         label, count, last, same = [], [], [], []
         path: list[int] = []
+        on_path: dict[int, list[int]] = {}
         prior: tuple = ()
         for s, w in zip(sequences, weights):
             k, most = 0, min(len(s), len(prior))
             while k < most and s[k] == prior[k]:
                 k += 1
-            for node in path[k:]:
+            while len(path) > k:
+                node = path.pop()
                 last[node] = len(label) - 1
-            del path[k:]
+                on_path[label[node]].pop()
             for node in path:
                 count[node] += w
             for x in s[k:]:
                 node = len(label)
-                up = -1
-                for p in reversed(path):  # a path is as long as a sequence at most
-                    if label[p] == x:
-                        up = p
-                        break
+                above = on_path.setdefault(x, [])
                 label.append(x)
                 count.append(w)
                 last.append(node)
-                same.append(up)
+                same.append(above[-1] if above else -1)
+                above.append(node)
                 path.append(node)
             prior = s
         for node in path:
