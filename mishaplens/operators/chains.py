@@ -17,15 +17,12 @@ def chain_rows(sequences: DataFrame) -> DataFrame:
 
 def chain_edges(sequences: DataFrame) -> DataFrame:
     """ev_id, i, event, next_event for each event but the last of its chain."""
-    n = with_next(chain_rows(sequences), "ev_id", ["occurrence_no"], "occurrence_description")
-    steps = with_next_flag(n)
-    return steps.filter("not is_last").select("ev_id", F.col("position").alias("i"), F.col("occurrence_description").alias("event"), F.col("next_value").alias("next_event"))
+    n = _steps(sequences).filter("has_next")
+    return n.select("ev_id", F.col("position").alias("i"), F.col("occurrence_description").alias("event"), F.col("next_value").alias("next_event"))
 
 
-def with_next_flag(n: DataFrame) -> DataFrame:
-    """``is_last``: whether a row is the last of its key, from the size of the key; a null event after it is an event."""
-    sizes = n.groupBy("ev_id").agg(F.max("position").alias("_top"))
-    return n.join(sizes, "ev_id").withColumn("is_last", F.col("position") == F.col("_top")).drop("_top")
+def _steps(sequences: DataFrame) -> DataFrame:
+    return with_next(chain_rows(sequences), "ev_id", ["occurrence_no"], "occurrence_description")
 
 
 def mermaid_lines(edges: DataFrame) -> DataFrame:
@@ -68,9 +65,9 @@ def event_frequency(sequences: DataFrame) -> DataFrame:
 
 def transitions(sequences: DataFrame) -> DataFrame:
     """event, next_event, n, p: how often one follows the other, over all occurrences of the first (also as last of a chain, so shares need not sum to 1)."""
-    edges = chain_edges(sequences).groupBy("event", "next_event").agg(F.count("*").alias("n"))
-    events = chain_rows(sequences).groupBy(F.col("occurrence_description").alias("event")).agg(F.count("*").alias("n_event"))
-    return edges.join(events, edges.event.eqNullSafe(events.event)).select(edges.event, "next_event", "n", (F.col("n") / F.col("n_event")).alias("p"))
+    counts = _steps(sequences).groupBy(F.col("occurrence_description").alias("event"), "has_next", F.col("next_value").alias("next_event")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("event"))  # over counts, so no event is hot
+    return counts.withColumn("p", share).filter("has_next").select("event", "next_event", "n", "p")
 
 
 def top_followers(trans: DataFrame, frequency: DataFrame, n_events: int = 3, n_followers: int = 5) -> DataFrame:

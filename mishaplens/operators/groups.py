@@ -56,7 +56,7 @@ def grouped_records(df: DataFrame, by: str, order: list[str], into: str, chunk:
 
 
 def with_next(df: DataFrame, by: str, order: list[str], value: str, block: int = 10_000) -> DataFrame:
-    """Each row with its position and the ``value`` of the row after it in its key (null at the end).
+    """Each row with its position, whether a row follows in its key (has_next), and the ``value`` of that row (next_value).
 
     Work is cut into blocks of positions; the first row of a block is lent to
     the one before, so no task meets a whole hot key.
@@ -66,7 +66,8 @@ def with_next(df: DataFrame, by: str, order: list[str], value: str, block: int =
     homes = F.when(lent, F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block"))
     rows = placed.withColumn("_home", F.explode(homes))
     w = Window.partitionBy(by, "_home").orderBy("position")
-    return rows.withColumn("next_value", F.lead(value).over(w)).filter(F.col("_home") == F.col("_block")).drop("_block", "_home")
+    rows = rows.withColumn("next_value", F.lead(value).over(w)).withColumn("has_next", F.lead("position").over(w).isNotNull())
+    return rows.filter(F.col("_home") == F.col("_block")).drop("_block", "_home")
 
 
 def array_of(c: Column, kind: str) -> Column:
