@@ -20,7 +20,10 @@ NOTE_WORDS = 2
 #: Last words of a text that footers and endings are looked for in.
 TAIL = 16
 
-_BREAK, _END = "⏎", "¶"
+# Signs for a line break and the end of a sentence; in ASCII, as other texts are slower to search.
+_BREAK, _END = "\x02", "\x01"
+# Fixed value: signs that are no part of a word.
+_PUNCTUATION = ".,;:!?()[]{}<>\"'’‘“”„«»…-–—/\\*_|�"
 _CLOSERS = "[\"')\\]»”’]*"
 _STOP = rf"(?<!\.)[.!?]{_CLOSERS}\z"
 # Fixed value: the stop word of teletypes.
@@ -38,12 +41,11 @@ def _bare(tokens: Column, n: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    """Lower-case words without outer punctuation, digits as one 9, with a sign after each sentence."""
-    t = F.regexp_replace(c, rf"(?<![.])[.!?]{_CLOSERS}(?=\s|\z)", f" {_END} ")
-    t = F.regexp_replace(t, rf"(?:\s|\A)(?:{_TELETYPE_STOP}|{_BREAK})(?=\s|\z)", f" {_END} ")
-    t = F.regexp_replace(F.lower(t), "[0-9]+", "9")
-    t = F.regexp_replace(t, rf"(?<=\s|\A)[^\p{{L}}\p{{N}}\s{_END}]+|[^\p{{L}}\p{{N}}\s{_END}]+(?=\s|\z)", "")
-    return F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+    """Lower-case words without punctuation, digits as one 9, with a sign after each sentence; one pass for all ends of sentences."""
+    ends = rf"(?<![.])[.!?]{_CLOSERS}(?=\s|\z)|(?<!\S)(?:{_TELETYPE_STOP}|{_BREAK})(?!\S)|[\r\n]+"
+    t = F.lower(F.regexp_replace(c, ends, f" {_END} "))
+    t = F.translate(F.regexp_replace(t, "[0-9]+", "9"), _PUNCTUATION, "")
+    return F.split(F.trim(F.regexp_replace(t, r"[\s\xA0]+", " ")), " ")
 
 
 def _counter(patterns: list[str]):
@@ -191,7 +193,7 @@ def judged_texts(texts: DataFrame) -> DataFrame:
     )
     facts = stage(facts, "endings")
 
-    seen = base.select(_words(_flat(F.col("text"))).alias("words")).select(F.explode(_trigrams(F.col("words"))).alias("g")).select("g.*")
+    seen = base.select(_words(F.col("text")).alias("words")).select(F.explode(_trigrams(F.col("words"))).alias("g")).select("g.*")
     grams = (
         seen.filter((F.col("w") != _END) & F.col("w").isNotNull())
         .select(F.when(F.col("v") == _END, F.lit(_END)).otherwise(F.col("u")).alias("u"), "v", "w", (F.col("x") == _END).cast("int").alias("e"), F.length("w").alias("c"))
