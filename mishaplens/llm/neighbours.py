@@ -106,15 +106,17 @@ def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Ind
 
     The sample's rows (by a hash of the id, MAX_SAMPLE at most) give the
     neighbour graph, its balanced cut and the training rows. All vectors are
-    later placed by the classifier. Where MAX_PARTS parts would be too large,
-    each is cut again in the same way, by a sample of its own on the
-    executors; these classifiers are small and bounded in number. The shares
+    later placed by the classifier. The first level has as many parts as
+    MAX_SAMPLE gives SAMPLE_PER_PART rows each, and MAX_PARTS at most; where
+    these would be too large, each is cut again in the same way, by a sample
+    of its own on the executors; these classifiers are small and bounded in number. The shares
     of the parts in the samples only decide into how many cells the work on a
     part is cut.
     """
     n = vectors.count()
     parts = inner = 1
-    while parts < MAX_PARTS and n / parts > 1.5 * PART_ROWS:
+    most = min(MAX_PARTS, MAX_SAMPLE // SAMPLE_PER_PART)  # each part of the first level has its full share of the sample
+    while 2 * parts <= most and n / parts > 1.5 * PART_ROWS:
         parts *= 2
     while inner < MAX_INNER and n / (parts * inner) > 1.5 * PART_ROWS:
         inner *= 2

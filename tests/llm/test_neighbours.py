@@ -79,6 +79,19 @@ def test_two_levels(spark, monkeypatch):
     assert sum(len(set(got[i]) & set(want[i])) for i in range(len(x))) / (5 * len(x)) >= 0.9
 
 
+def test_sample_bounds_the_first_level(spark, monkeypatch):
+    monkeypatch.setattr(nb, "PART_ROWS", 100)
+    monkeypatch.setattr(nb, "SAMPLE_PER_PART", 100)
+    monkeypatch.setattr(nb, "MAX_SAMPLE", 500)
+    x = clusters(2400, 16, 5, noise=0.2)
+    want, _ = brute_fast(x, 5)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "entry_id long, embedding array<float>")
+    index = nb.fit_index(v, 16, 2.0)
+    assert index.router.weights[2].shape[1] == 4 and index.n_inner == 4
+    got = run(spark, x, [None] * len(x), margin=2.0)
+    assert sum(len(set(got[i]) & set(want[i])) for i in range(len(x))) / (5 * len(x)) >= 0.9
+
+
 def brute_fast(x, k):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
