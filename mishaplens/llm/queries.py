@@ -25,7 +25,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    out = pairs.item_pairs(_causal_baskets(spark, d), min_support=5)
+    return _pair_report(spark, d, 5)
+
+
+def p2_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pair_report(spark, d, 1)
+
+
+def _pair_report(spark: SparkSession, d: str, min_support: int) -> DataFrame:
+    out = pairs.item_pairs(_causal_baskets(spark, d), min_support=min_support)
     return out.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
@@ -162,6 +170,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p2_all_pairs": p2_all_pairs,
     "p3_found": p3_found,
     "p3_frequencies": p3_frequencies,
     "p4_found": p4_found,
@@ -242,6 +251,8 @@ SQL = {
     "p2_found": _P2 + "SELECT item_a, item_b FROM p WHERE 2000 * n_ab >= n_baskets AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p2_pairs": _P2 + """SELECT item_a, item_b, n_a, n_b, n_ab, round(n_ab * n_baskets / (n_a::DOUBLE * n_b), 6) AS lift,
       round(ln(n_ab * n_baskets / (n_a::DOUBLE * n_b)), 6) AS pmi FROM p""",
+    "p2_all_pairs": _P2.replace(" HAVING count(*) >= 5", "") + """SELECT item_a, item_b, n_a, n_b, n_ab, round(n_ab * n_baskets / (n_a::DOUBLE * n_b), 6) AS lift,
+      round(ln(n_ab * n_baskets / (n_a::DOUBLE * n_b)), 6) AS pmi FROM p""",
     "p3_found": _P3 + "SELECT field_label, unit_label, token, mark FROM m WHERE mark IS NOT NULL",
     "p3_frequencies": _P3 + "SELECT field_label, unit_label, token, occurrences, records, mark FROM m",
     "p4_found": _P4 + "SELECT step_1, step_2, step_3 FROM f",

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from mishaplens.llm import pairs
+from mishaplens.llm import pairs, queries
 
 
 def model(rows, support, share=None, lift=None):
@@ -63,3 +63,13 @@ def test_empty_and_single(spark):
     assert run(spark, [], 1) == {}
     one = [("b", "x", 1, 1, "", 1), ("b", "x", 1, 1, "", 1), ("c", "y", 1, 1, "", 1)]
     assert run(spark, one, 1) == {}
+
+
+def test_report_of_all_pairs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(pairs, "BLOCK", 100)
+    rows = [(b, i) for b, i, *_ in data(12, range(2)) if b and i and i != "Z"]
+    found = [(f" {b} ", i.upper() if i != "é" else i, "c ") for b, i in rows] + [("b1", "x", "N"), ("b1", "none", "C")]
+    spark.createDataFrame(found, "ev_id string, finding_description string, cause_factor string").write.parquet(f"{tmp_path}/findings.parquet")
+    out = {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab) for r in queries.QUERIES["p2_all_pairs"](spark, str(tmp_path)).collect()}
+    want = model(rows, 1)
+    assert out == want and min(n for _, _, n in want.values()) == 1
