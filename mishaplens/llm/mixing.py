@@ -47,15 +47,17 @@ def exponent_for_entropy(sizes: dict[str, int], target: float) -> float:
 
 
 def plan_mix(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, int], budget: int | None = None, least_use: float = 0.5) -> tuple[dict[str, int], float]:
-    """Budget of each source and the exponent used.
+    """Budget of each source, and the exponent at which tempered shares would keep the caps.
 
     Without a budget it is the largest at which all target shares can be met
     within the repeat caps, but at least ``least_use`` of what there is. A
     source too small for its share of that gives all it may (its text times
-    its cap), and the others share the remainder by their targets. Where the
-    targets of those still break a cap, the exponent between natural and
-    target shares is bisected to the largest that keeps all caps. Sources
-    without text or target give nothing.
+    its cap), and the others share the remainder by their targets, which is
+    nearer to the targets than shares tempered until no cap breaks. The
+    exponent is that of those tempered shares: the largest from natural (0)
+    to target (1) that keeps all caps at this budget, 1 if no cap binds and 0
+    if none keeps them; it decides no share. Sources without text or target
+    give nothing.
     """
     live = {k: v for k, v in sizes.items() if v > 0 and shares.get(k, 0) > 0 and caps.get(k, 0) > 0}
     if not live:
@@ -74,10 +76,8 @@ def plan_mix(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, in
         if not over:
             break
         pinned |= {k: limit[k] for k in over}
-    toward = _normal({k: goal[k] for k in free}) if free else {}
-    held = {k: live[k] for k in free}
-    a = _bisect(lambda a: all(left * w <= limit[k] * (1 + 1e-9) for k, w in tempered(held, a, toward).items()), 0.0, 1.0) if free else 1.0
-    out = {k: int(left * w + 1e-6) for k, w in tempered(held, a, toward).items()} if free else {}
+    out = {k: int(left * goal[k] / weight + 1e-6) for k in free}
+    a = _bisect(lambda a: all(budget * w <= limit[k] * (1 + 1e-9) for k, w in tempered(live, a, goal).items()), 0.0, 1.0)
     return out | pinned, a
 
 

@@ -71,3 +71,14 @@ def test_exponents():
     assert abs(mixing.entropy(mixing.tempered(sizes, a)) - want) < 1e-6
     assert mixing.exponent_for_entropy(sizes, 0.01) == 1.0
     assert math.isclose(mixing.tempered(sizes, 1.0, {"a": 0.2, "b": 0.3, "c": 0.5})["c"], 0.5)
+
+
+def test_capped_filling_is_nearer_than_the_exponent():
+    sizes, goal, caps = {"a": 1000, "b": 800, "tiny": 20}, {"a": 0.3, "b": 0.3, "tiny": 0.4}, {"a": 2, "b": 2, "tiny": 3}
+    out, a = mixing.plan_mix(sizes, goal, caps, budget=1200)
+    assert out == {"a": 570, "b": 570, "tiny": 60}
+    keeps = lambda a: all(1200 * w <= sizes[k] * caps[k] * (1 + 1e-6) for k, w in mixing.tempered(sizes, a, goal).items())
+    assert 0 < a < 1 and keeps(a) and not keeps(a + 0.01)
+    far = lambda w: sum(w[k] * math.log(w[k] / goal[k]) for k in goal)
+    assert far({k: v / 1200 for k, v in out.items()}) < far(mixing.tempered(sizes, a, goal))
+    assert mixing.plan_mix(sizes, goal, caps, budget=100)[1] == 1.0
