@@ -88,7 +88,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    n = neighbours.nearest_neighbours(*_vectors(spark, d), margin=4.0)
+    n = neighbours.nearest_neighbours(*_vectors(spark, d), margin=5.0)
     return n.select("entry_id", "neighbour_id", F.round("cosine", 3).alias("cosine"), "place")
 
 

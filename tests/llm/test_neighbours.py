@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from mishaplens.llm import neighbours as nb
+from mishaplens.llm import neighbours as nb, queries
 from mishaplens.llm.router import Router, balanced_parts, neighbour_graph
 
 SCHEMA = "entry_id long, embedding array<float>, owner string, cell long, vec binary"
@@ -99,6 +99,17 @@ def brute_fast(x, k):
     return {i: np.argsort(-s[i])[:k].tolist() for i in range(len(x))}, s
 
 
+def test_query_finds_far_neighbours_through_parts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(nb, "PART_ROWS", 60)
+    x = clusters(4000, 64, 6, each=20, noise=1.0)
+    want, s = brute_fast(x, 5)
+    assert np.median([s[i, w[4]] for i, w in want.items()]) < 0.65
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entry_id long, embedding array<float>").write.parquet(f"{tmp_path}/entry_vectors.parquet")
+    spark.createDataFrame([(i, f"k{i}") for i in range(len(x))], "entry_id long, ev_id string").write.parquet(f"{tmp_path}/embeddings_map.parquet")
+    got = queries.QUERIES["p5_neighbours"](spark, str(tmp_path)).collect()
+    assert sum(r.neighbour_id in want[r.entry_id] for r in got) / (5 * len(x)) >= 0.9
+
+
 def test_ties_and_equal_vectors(spark):
     x = np.ones((9, 4), "f4")
     got = run(spark, x, [None] * 9, k=3)
