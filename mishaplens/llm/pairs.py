@@ -79,7 +79,7 @@ def item_pairs(baskets: DataFrame, min_support: int = 5, min_share: int | None =
     big = big.filter(~F.col("basket").isin(hot)) if hot else big
     plain = rest
     pairs = None
-    if len(top) > len(hot) and not big.isEmpty():
+    if not big.isEmpty():
         big = stage(big, "big_baskets")
         plain = rest.join(big, "basket", "left_anti")
         pairs = _blocked_pairs(rest, big)

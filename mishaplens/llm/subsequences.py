@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from mishaplens.operators.groups import positioned
+from mishaplens.operators.skew import heavy_keys, split_join
 from mishaplens.session import stage
 
-#: Sequences with more steps than this are reduced before they are collected.
+#: Sequences with more steps than this are reduced before they are collected, so many steps at a time.
 LONG = 1000
-#: Frequent items and frequent shorter patterns are broadcast; a support threshold bounds them, and more than this is refused.
+#: Up to so many frequent items or patterns are broadcast. Beyond, items are joined by a shuffle and patterns do not prune; the result is the same.
 MAX_FREQUENT = 2_000_000
-#: Distinct sequences in one tree.
-TREE = 200_000
+#: Distinct sequences in one tree, and their steps.
+TREE, TREE_STEPS = 200_000, 2_000_000
 
 
 class CodedTree:
@@ -109,7 +111,7 @@ def _mined(sequences: DataFrame, steps: int, allowed: set | None) -> DataFrame:
     def trees(batches):
         import pyarrow as pa
 
-        held, weights = [], []
+        held, weights, n_steps = [], [], 0
 
         def flush():
             tree = CodedTree(held, weights)
@@ -118,40 +120,81 @@ def _mined(sequences: DataFrame, steps: int, allowed: set | None) -> DataFrame:
                 patterns.append(p)
                 support.append(n)
                 if len(patterns) == 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.list_(pa.int32())), pa.array(support, pa.int64())], names=["pattern", "support"])
+                    yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.list_(pa.int64())), pa.array(support, pa.int64())], names=["pattern", "support"])
                     patterns, support = [], []
             if patterns:
-                yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.list_(pa.int32())), pa.array(support, pa.int64())], names=["pattern", "support"])
+                yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.list_(pa.int64())), pa.array(support, pa.int64())], names=["pattern", "support"])
 
         for b in batches:
-            held += b.column(0).to_pylist()
-            weights += b.column(1).to_pylist()
-            if len(held) >= TREE:
-                yield from flush()
-                held, weights = [], []
+            for codes, weight in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append(codes)
+                weights.append(weight)
+                n_steps += len(codes)
+                if len(held) >= TREE or n_steps >= TREE_STEPS:
+                    yield from flush()
+                    held, weights, n_steps = [], [], 0
         if held:
             yield from flush()
 
-    return sequences.mapInArrow(trees, "pattern array<int>, support bigint").groupBy("pattern").agg(F.sum("support").alias("support"))
+    return sequences.mapInArrow(trees, "pattern array<bigint>, support bigint").groupBy("pattern").agg(F.sum("support").alias("support"))
 
 
-def _reduced(coded: DataFrame) -> DataFrame:
-    """Long sequences without steps that no three-step pattern can tell apart.
+def reduced_word(word, steps: int):
+    """Which places of ``word`` to keep so that it has the same patterns of up to ``steps`` labels.
 
-    A pattern x, y, z is in a sequence if a y lies between the first x and
-    the last z. So of each item the first and last steps are kept, and of its
-    other steps one in each gap between two steps kept like that. What is left
-    is bounded by the number of distinct frequent items, not by the length.
+    A place is reached by x steps from the left (each to the next place of
+    some label) and y from the right; where x + y exceeds steps + 1, every
+    pattern through it has another way (Simon's congruence). What is left is
+    bounded by the number of labels and steps, not by the length.
     """
-    ends = coded.groupBy("sequence", "code").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    marks = ends.groupBy("sequence").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi"))))).alias("marks"))
-    placed = coded.join(F.broadcast(marks), "sequence")
-    gap = F.size(F.filter("marks", lambda m: m < F.col("at"))) * 2 + F.array_contains("marks", F.col("at")).cast("int")
-    return placed.groupBy("sequence", "code", gap.alias("gap")).agg(F.min("at").alias("at")).select("sequence", "at", "code")
+    n, top = len(word), steps + 1
+
+    def reach(order, skip, limit):
+        """Fewest steps to each place in this direction, ``top`` at most; places beyond ``limit`` are dropped on the way."""
+        out, at_label, latest = [top] * n, {}, [-1] * (top + 1)
+        for seen, i in enumerate(order):
+            if skip[i]:
+                continue
+            prior = at_label.get(word[i], -1)
+            x = 1 if prior < 0 else 1 + next((v for v in range(1, top) if latest[v] >= prior), top - 1)
+            if limit is not None and limit[i] + x > top:
+                skip[i] = True
+                continue
+            out[i] = min(x, top)
+            at_label[word[i]] = latest[out[i]] = seen
+        return out
+
+    dropped = [False] * n
+    left = reach(range(n), dropped, None)
+    reach(range(n - 1, -1, -1), dropped, left)
+    return [not d for d in dropped]
+
+
+def _reduced(coded: DataFrame, steps: int) -> DataFrame:
+    """Long sequences without steps that no pattern can tell apart: (sequence, at, code).
+
+    A sequence is cut into blocks of LONG steps, each reduced on its own, and
+    what is left is cut and reduced again until a round takes away less than a
+    tenth. Reducing a block keeps its patterns, so the whole keeps its own.
+    """
+
+    def kept(pdf):
+        pdf = pdf.sort_values("position")
+        return pdf.loc[reduced_word(pdf["code"].tolist(), steps), ["sequence", "p1", "p2", "code"]]
+
+    rows = coded.select("sequence", F.col("at.place_1").alias("p1"), F.col("at.place_2").alias("p2"), "code")
+    n = None
+    while True:
+        placed = positioned(rows, "sequence", ["p1", "p2"]).withColumn("block", F.expr(f"position div {LONG}"))
+        rows = stage(placed.groupBy("sequence", "block").applyInPandas(kept, rows.schema), "reduced")
+        prior, n = n, rows.count()
+        if prior is not None and n > 0.9 * prior or not n:
+            break
+    return rows.select("sequence", F.struct(F.col("p1").alias("place_1"), F.col("p2").alias("place_2"), "code").alias("at"), "code")
 
 
 def frequent_subsequences(steps_of: DataFrame, steps: int = 3, min_support: int = 3, min_share: int = 400) -> DataFrame:
-    """Patterns of ``steps`` items (at most 3) at increasing places of a sequence, with the number of sequences that have them.
+    """Patterns of ``steps`` items (2 or more) at increasing places of a sequence, with the number of sequences that have them.
 
     ``steps_of`` has (sequence, place_1, place_2, item): rows alike in all
     four count once; a sequence is ordered by place_1, place_2 (null as ''),
@@ -162,14 +205,15 @@ def frequent_subsequences(steps_of: DataFrame, steps: int = 3, min_support: int
     once, however often it holds it. No rows give no patterns.
 
     Method: items too rare for any pattern are dropped, equal sequences are
-    merged with a weight, and each range of them in lexical order becomes a
-    prefix tree with ancestor codes. The frequent patterns of one step less
-    are mined first and prune the second mining. Supports of the trees are
+    merged with a weight, and each range of them in lexical order becomes
+    prefix trees with ancestor codes. The frequent patterns of one step less
+    are mined first and prune the next mining. Supports of the trees are
     summed, as each sequence is in one tree. Long sequences are reduced to
-    an equivalent short one before they are collected.
+    an equivalent short one, block by block, before they are collected. Nothing that grows with the
+    number of sequences is broadcast: only patterns (MAX_FREQUENT at most; more of them do not prune).
     """
-    if not 2 <= steps <= 3:
-        raise ValueError("patterns have two or three steps")
+    if steps < 2:
+        raise ValueError("patterns have two steps or more")
     rows = (
         steps_of.select("sequence", "place_1", F.coalesce("place_2", F.lit("")).alias("place_2"), "item")
         .filter(F.col("sequence").isNotNull() & F.col("place_1").isNotNull() & F.col("item").isNotNull())
@@ -180,31 +224,27 @@ def frequent_subsequences(steps_of: DataFrame, steps: int = 3, min_support: int
     total, longest = lengths.agg(F.count("*"), F.max("n")).first()
     at_least = max(min_support, -(-total // min_share))
     supports = rows.select("sequence", "item").distinct().groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
-    frequent = sorted(r.item for r in supports.limit(MAX_FREQUENT + 1).collect())
-    _bounded(frequent)
-    spark = rows.sparkSession
-    names = spark.createDataFrame(list(enumerate(frequent)), "code int, item string")
-    coded = rows.join(F.broadcast(names), "item").select("sequence", F.struct("place_1", "place_2", "code").alias("at"), "code")
+    names = stage(supports.orderBy("item").withColumn("code", F.monotonically_increasing_id()), "frequent_items")  # codes in the order of items
+    few = names.count() <= MAX_FREQUENT
+    named = names.select("item", "code")
+    coded = rows.join(F.broadcast(named), "item") if few else split_join(rows, named, ["item"], heavy_keys(names, ["item"]))
+    coded = coded.select("sequence", F.struct("place_1", "place_2", "code").alias("at"), "code")
     if (longest or 0) > LONG:
-        long = lengths.filter(F.col("n") > LONG).select("sequence")
-        coded = coded.join(F.broadcast(long), "sequence", "left_anti").unionByName(_reduced(coded.join(F.broadcast(long), "sequence", "left_semi")))
+        coded = stage(coded, "coded_steps")
+        kept = coded.groupBy("sequence").agg(F.count("*").alias("n")).withColumn("long", F.col("n") > LONG)
+        heavy = heavy_keys(kept, ["sequence"])
+        marked = stage(split_join(coded, kept.select("sequence", "long"), ["sequence"], heavy), "marked_steps")
+        coded = marked.filter("not long").drop("long").unionByName(_reduced(marked.filter("long").drop("long"), steps))
     lists = coded.groupBy("sequence").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    merged = lists.filter(F.size("ats") >= steps - 1).select(F.transform("ats", lambda a: a["code"]).alias("codes")).groupBy("codes").agg(F.count("*").alias("weight"))
+    merged = lists.filter(F.size("ats") >= min(steps, 2)).select(F.transform("ats", lambda a: a["code"]).alias("codes")).groupBy("codes").agg(F.count("*").alias("weight"))
     merged = stage(merged, "distinct_sequences")
     trees = merged.repartitionByRange("codes").sortWithinPartitions("codes")
     allowed = None
-    if steps == 3:
-        shorter = _mined(trees, 2, None).filter(F.col("support") >= at_least).select("pattern").limit(MAX_FREQUENT + 1).collect()
-        allowed = {tuple(r.pattern) for r in shorter}
-        _bounded(allowed)
-    mined = _mined(trees, steps, allowed).filter(F.col("support") >= at_least)
-    out = mined
+    for k in range(2, steps):
+        shorter = _mined(trees, k, allowed).filter(F.col("support") >= at_least).select("pattern").limit(MAX_FREQUENT + 1).collect()
+        allowed = {tuple(r.pattern) for r in shorter} if len(shorter) <= MAX_FREQUENT else None
+    out = _mined(trees, steps, allowed).filter(F.col("support") >= at_least)
     for i in range(steps):
         side = names.select(F.col("code").alias(f"c{i}"), F.col("item").alias(f"step_{i + 1}"))
-        out = out.withColumn(f"c{i}", F.element_at("pattern", i + 1)).join(F.broadcast(side), f"c{i}")
+        out = out.withColumn(f"c{i}", F.element_at("pattern", i + 1)).join(F.broadcast(side) if few else side, f"c{i}")
     return out.select(*[f"step_{i + 1}" for i in range(steps)], "support", F.lit(total).cast("bigint").alias("n_sequences"))
-
-
-def _bounded(found) -> None:
-    if len(found) > MAX_FREQUENT:
-        raise ValueError("the support threshold is too low to keep the frequent items or patterns in memory")

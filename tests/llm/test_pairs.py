@@ -73,3 +73,15 @@ def test_report_of_all_pairs(spark, monkeypatch, tmp_path):
     out = {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab) for r in queries.QUERIES["p2_all_pairs"](spark, str(tmp_path)).collect()}
     want = model(rows, 1)
     assert out == want and min(n for _, _, n in want.values()) == 1
+
+
+def test_more_big_baskets_than_the_mask_holds(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 40)
+    rnd = random.Random(13)
+    items = [f"i{k}" for k in range(70)]
+    rows = [(f"b{b}", i, 1, 1, "", 1) for b in range(75) for i in items if rnd.random() < 0.97]
+    taken = []
+    way = pairs._blocked_pairs
+    monkeypatch.setattr(pairs, "_blocked_pairs", lambda coded, big: taken.append(big.count()) or way(coded, big))
+    assert run(spark, rows, 66) == model(rows, 66)
+    assert taken == [75 - pairs.HOT_BASKETS]

@@ -39,7 +39,7 @@ def data(seed, n=150, hot=0):
     return [(*r, 1, 2, "clash") for r in rows]
 
 
-@pytest.mark.parametrize("steps", [2, 3])
+@pytest.mark.parametrize("steps", [2, 3, 4])
 def test_against_model(spark, steps):
     rows = data(1)
     assert run(spark, rows, steps) == model(rows, steps, 3, 400)
@@ -74,3 +74,27 @@ def test_tree_alone():
         for p in set(combinations(s, 3)):
             want[p] += k
     assert dict(sub.CodedTree([list(s) for s in seqs], w).mine(3)) == dict(want)
+
+
+@pytest.mark.parametrize("steps", [2, 3, 4])
+def test_reduced_word_keeps_its_patterns(steps):
+    rnd = random.Random(steps)
+    for _ in range(150):
+        word = rnd.choices("abcd"[: rnd.randint(1, 4)], k=rnd.randint(0, 24))
+        keep = [c for c, k in zip(word, sub.reduced_word(word, steps)) if k]
+        for k in range(1, steps + 1):
+            assert set(combinations(keep, k)) == set(combinations(word, k))
+    assert sum(sub.reduced_word(list("abc") * 2000, steps)) <= 4 ** steps
+
+
+def test_thousands_of_long_sequences(spark, monkeypatch):
+    monkeypatch.setattr(sub, "LONG", 20)
+    rnd = random.Random(8)
+    rows = [(f"s{s}", i, None, rnd.choice("abc" if s % 2 else "cd"), 1, 1, "") for s in range(3000) for i in range(28)]
+    assert run(spark, rows, 3, 3) == model(rows, 3, 3, 400)
+
+
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(sub, "MAX_FREQUENT", 2)
+    rows = data(9)
+    assert run(spark, rows) == model(rows, 3, 3, 400)
