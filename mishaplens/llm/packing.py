@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: A histogram of lengths has at most so many entries: a capacity above it would need another way to find combinations.
 MAX_CAPACITY = 1 << 17
+#: Items of one size that one task numbers, about.
+GROUP_ROWS = 200_000
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -107,7 +109,7 @@ def slots(plan: list[tuple[int, list[int]]]) -> tuple[np.ndarray, int]:
     return out, first_bin - 1
 
 
-def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> DataFrame:
+def pack(items: DataFrame, capacities: dict[str, int], groups: int | None = None) -> DataFrame:
     """Every item, or its pieces, with a container, for each capacity.
 
     ``items`` has (item_id unique, size); other columns are ignored. Result:
@@ -121,7 +123,8 @@ def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> Data
     items there are; only that histogram comes to the driver. The items stay
     distributed: each gets its rank among those of its size, from counts by
     (size, hash group) and a rank within the group, so one size with a third of all items is still
-    cut into ``groups``; its bin follows from the rank. Ties go by id.
+    cut into ``groups``, by default so many that each has about GROUP_ROWS
+    items of the commonest size; its bin follows from the rank. Ties go by id.
     """
     spark = items.sparkSession
     sized = items.select("item_id", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("bigint").alias("size")).filter(F.col("item_id").isNotNull())
@@ -130,14 +133,17 @@ def pack(items: DataFrame, capacities: dict[str, int], groups: int = 64) -> Data
     limits = F.array(*[F.struct(F.lit(k).alias("limit_label"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in capacities.items()])
     rest = sized.select("*", F.explode(limits).alias("l")).select("item_id", "size", "l.*")
     rest = rest.withColumn("n_full", F.expr("size div capacity")).withColumn("rest", F.col("size") % F.col("capacity"))
+    per_size = rest.groupBy("limit_label", "rest").agg(F.count("*").alias("n"), F.sum("n_full").alias("n_full")).collect()  # at most one row per unit of capacity
+    if groups is None:  # pieces of long items are numbered by group too, whatever their rests
+        longs = [sum(r.n for r in per_size if r.limit_label == k and r.n_full) for k in capacities]
+        groups = max(1, -(-max([r.n for r in per_size] + longs, default=1) // GROUP_ROWS))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(groups)).cast("int"))
     slot = ["limit_label", "rest", "part"]
     counts = rest.groupBy(*slot).agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("limit_label", "rest").agg(F.sum("n").alias("n")).collect()  # at most one row per unit of capacity
-    full = {r.limit_label: r.n for r in rest.groupBy("limit_label").agg(F.sum("n_full").alias("n")).collect()}
+    full = {k: sum(r.n_full for r in per_size if r.limit_label == k) for k in capacities}
     tables = {}
     for label, cap in capacities.items():
-        tables[label], n_bins = slots(plan_best({r.rest: r.n for r in sizes if r.limit_label == label}, cap))
+        tables[label], n_bins = slots(plan_best({r.rest: r.n for r in per_size if r.limit_label == label}, cap))
         full[label] = (max(n_bins, 1) if not full.get(label) else n_bins, full.get(label) or 0)
     shared = spark.sparkContext.broadcast(tables)
 

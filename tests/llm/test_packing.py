@@ -8,9 +8,9 @@ from mishaplens.llm import packing
 from mishaplens.llm.tokens import load, with_token_counts
 
 
-def run(spark, sizes, caps):
+def run(spark, sizes, caps, groups=4):
     df = spark.createDataFrame([(i, s, 1, 1, "clash") for i, s in sizes], "item_id long, size long, rest int, part int, limit_label string")
-    out = packing.pack(df, caps, groups=4).collect()
+    out = packing.pack(df, caps, groups=groups).collect()
     real = [(i, max(0, s or 0)) for i, s in sizes if i is not None]
     for label, cap in caps.items():
         mine = [r for r in out if r.limit_label == label]
@@ -79,3 +79,9 @@ def test_token_counts_round_trip(spark):
     for r in with_token_counts(df).collect():
         ids = enc.encode_ordinary(r.text) if r.text else []
         assert r.n_tokens == len(ids) and enc.decode(ids) == (r.text or "")
+
+
+def test_groups_follow_the_commonest_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    run(spark, [(i, 11) for i in range(500)] + [(1000 + i, 45 + i % 3) for i in range(300)], {"x": 20}, groups=None)
+    assert run(spark, [], {"x": 20}, groups=None) == []
