@@ -3,258 +3,504 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mishaplens.operators.skew import heavy_keys, split_join
 from mishaplens.session import stage
 
-#: Words of a footer, least and most; texts that must end in it; and one text in so many.
-FOOTER_WORDS, FOOTER_TEXTS, FOOTER_PART = (2, 6), 8, 20_000
-#: A length is a spike if so many texts have it, so many times the mean of the lengths around it.
-SPIKE_TEXTS, SPIKE_TIMES, SPIKE_AROUND = 8, 8, 25
+#: Words at both ends of a text in which what was put before or after it is looked for.
+ENDS = 16
+#: Texts that must have such an affix, and one text in so many.
+AFFIX_TEXTS, AFFIX_PART = 8, 20_000
+#: Share of the texts with a footer that ends in a stop in which a sentence ends before it, at least.
+AFTER_CLOSED = 0.8
+#: A length is a spike if its number of texts is less likely than exp(-SPIKE_TEST) by the lengths SPIKE_AROUND it; cuts at a word fall up to SHOULDER short of it.
+SPIKE_TEST, SPIKE_AROUND, SHOULDER = 14.0, 25, 15
+#: Least number of texts expected at a length, so that empty surroundings prove nothing.
+LEAST_USUAL = 0.02
 #: Limits of the share of sentence ends below which an ending without a stop counts as cut.
 LEAST_ENDS, MOST_ENDS = 0.002, 0.5
 #: Texts of up to so many words without a stop are notes or placeholders, not sentences.
 NOTE_WORDS = 2
-#: Last words of a text that footers and endings are looked for in.
-TAIL = 16
+#: Bits of the filter of contexts, as a power of two; it has this size at every scale.
+FILTER_BITS = 26
+#: A table of spikes of at most so many rows is broadcast.
+BROADCAST_ROWS = 200_000
+#: Characters of text one task counts contexts of at a time.
+SLICE = 8_000_000
 
-# Signs for a line break and the end of a sentence; in ASCII, as other texts are slower to search.
 _BREAK, _END = "\x02", "\x01"
-# Fixed value: signs that are no part of a word.
+# Signs that are no part of a word; those that may follow a stop; the stop word of teletypes.
 _PUNCTUATION = ".,;:!?()[]{}<>\"'’‘“”„«»…-–—/\\*_|�"
 _CLOSERS = "[\"')\\]»”’]*"
-_STOP = rf"(?<!\.)[.!?]{_CLOSERS}\z"
-# Fixed value: the stop word of teletypes.
 _TELETYPE_STOP = "STOP"
+_STOP = re.compile(rf"(?<!\.)[.!?]{_CLOSERS}\Z")
+_HANGING = re.compile(r"[…�,;:(\[]\Z")
+_TOKEN = re.compile(r"[\r\n]\s*|\S+")
+#: Marks of a cut at the end of a text; they are no part of its length.
+_MARKS = re.compile(r"(?:\s|…|�|\.\.+)+\Z")
 
 
-def _tokens(c: Column) -> Column:
-    """Words between white space, with a sign for line breaks."""
-    return F.filter(F.split(F.regexp_replace(c, r"[\r\n]+", f" {_BREAK} "), r"(?U)\s+"), lambda t: t != "")
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """(token, start, end) with a sign for line breaks and digits as one 9."""
+    return [(_BREAK if m[0][0] in "\r\n" else re.sub("[0-9]+", "9", m[0]), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
-def _bare(tokens: Column, n: Column) -> Column:
-    """Tokens without line breaks at their end. No text ends in more than one sign, as runs of breaks are one."""
-    return F.when(F.try_element_at(tokens, F.lit(-1)) == _BREAK, F.slice(tokens, 1, n - 1)).otherwise(tokens)
+def _strip_breaks(tokens: list) -> list:
+    while tokens and tokens[-1][0] == _BREAK:
+        tokens = tokens[:-1]
+    return tokens
 
 
-def _words(c: Column) -> Column:
-    """Lower-case words without punctuation, digits as one 9, with a sign after each sentence; one pass for all ends of sentences."""
-    ends = rf"(?<![.])[.!?]{_CLOSERS}(?=\s|\z)|(?<!\S)(?:{_TELETYPE_STOP}|{_BREAK})(?!\S)|[\r\n]+"
-    t = F.lower(F.regexp_replace(c, ends, f" {_END} "))
-    t = F.translate(F.regexp_replace(t, "[0-9]+", "9"), _PUNCTUATION, "")
-    return F.split(F.trim(F.regexp_replace(t, r"[\s\xA0]+", " ")), " ")
+def _slices(column):
+    """Parts of an Arrow column of texts with about SLICE characters each."""
+    import pyarrow.compute as pc
 
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE)))
+        yield column.slice(lo, hi - lo)
+        lo = hi
 
-def _counter(patterns: list[str]):
-    """Occurrences of the patterns in texts of tokens joined by blanks."""
+
+# -------------------------------------------------- what stands before and after
+
+
+def _both_ends(batches):
+    """The first and last words of each text, its lengths and a digest."""
+    import pyarrow as pa
+    import xxhash
+
+    for b in batches:
+        out = [[] for _ in range(7)]
+        for item, text in enumerate(b.column(2).to_pylist()):
+            if not text or not text.strip():
+                continue
+            first, last = text.split(None, ENDS), text.rsplit(None, ENDS)
+            head = text[: len(text) - len(first[-1])] if len(first) > ENDS else text
+            tail = text[len(last[0]) :] if len(last) > ENDS else text
+            raw = text.encode()
+            n = len(text.split(None, 4 * ENDS))
+            for o, v in zip(out, (item, len(text), len(raw), n, head, tail, xxhash.xxh64_intdigest(raw) - (1 << 63))):
+                o.append(v)
+        at = pa.array(out[0], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(at), b.column(1).take(at), *[pa.array(o, t) for o, t in zip(out[1:], (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()))]],
+            names=["item_id", "source", "n_chars", "n_bytes", "n_tokens", "head", "tail", "digest"],
+        )
+
+
+def _grams(known: set | None):
+    """How many texts begin ('head') or end ('tail') with each sequence of words, and in how many of them a sentence ends before it: up to three words, or with ``known`` sequences of three the longer ones that extend them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n: Counter = Counter()
+            closed: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                t = [x for x, _, _ in _strip_breaks(_tokens(text))][:ENDS]
+                n.update(("head", " ".join(t[:k])) for k in _sizes(known, "head", t[:3], len(t)))
+            for text in b.column(1).to_pylist():
+                t = [x for x, _, _ in _strip_breaks(_tokens(text))][-ENDS:]
+                for k in _sizes(known, "tail", t[-3:], len(t)):
+                    gram = ("tail", " ".join(t[-k:]))
+                    n[gram] += 1
+                    closed[gram] += _closes(t[-k - 1])
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in n]), pa.array([g for _, g in n]), pa.array(list(n.values()), pa.int64()), pa.array([closed[g] for g in n], pa.int64())], names=["side", "gram", "n", "closed"])
+
+    return run
+
+
+def _closes(word: str) -> bool:
+    return word in (_BREAK, _TELETYPE_STOP) or bool(_STOP.search(word))
+
+
+def _sizes(known, side, three, n):
+    if known is None:
+        return range(1, min(3, n - 1) + 1)
+    return range(4, n) if (side, " ".join(three)) in known else ()
+
+
+def _occurrences(patterns: list[str]):
+    """Occurrences of sequences of words in whole texts, also where the last word goes on."""
 
     def run(batches):
         import ahocorasick
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         auto = ahocorasick.Automaton()
         for i, p in enumerate(patterns):
-            auto.add_word(f" {p} ", i)
+            auto.add_word(f" {p}", i)
         auto.make_automaton()
-        n = [0] * len(patterns)
+        n = np.zeros(len(patterns), "int64")
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for _, i in auto.iter(f" {t} "):
-                    n[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(n, pa.int64())], names=["gram", "n_all"])
+            for part in _slices(b.column(0)):
+                t = pc.replace_substring_regex(part, r"[\r\n]\s*", f" {_BREAK} ")
+                t = pc.replace_substring_regex(pc.replace_substring_regex(t, "[0-9]+", "9"), r"[\s\p{Z}\x1c-\x1f]+", " ")
+                at = [i for text in t.drop_null().to_pylist() for _, i in auto.iter(f" {text} ")]
+                n += np.bincount(np.array(at, "int64"), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(n)], names=["gram", "n_all"])
 
     return run
 
 
-def learned_footers(texts: DataFrame, tails: DataFrame) -> list[str]:
-    """What is put after many texts, whatever they say: final word sequences that occur nowhere else, follow many different words, and are not the beginning of longer ones.
+def learned_affixes(texts: DataFrame, ends: DataFrame) -> tuple[list[str], list[str]]:
+    """What is put before and after many texts, whatever they say: (headers, footers), of any length up to ENDS words.
 
-    ``texts`` has (text), ``tails`` their last words (tail) without breaks at
-    the end. Numbers count as equal.
+    Sequences of words that begin or end AFFIX_TEXTS texts or more (and one in
+    AFFIX_PART), stand nearly nowhere else (nor begin other words there, as
+    the pieces of words that cuts leave do), have many different neighbours,
+    and, at the end, do not close a sentence. ``texts`` has (text), ``ends``
+    (head, tail). Numbers count as equal. What comes to the driver is bounded by AFFIX_PART.
     """
-    lo, hi = FOOTER_WORDS
-    plain = tails.select(F.transform(F.slice("tail", -F.least(F.size("tail"), F.lit(hi)), hi), lambda t: F.regexp_replace(t, "[0-9]+", "9")).alias("g"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("g")), lambda k: F.array_join(F.slice("g", -k, k), " "))
-    counted = plain.filter(F.size("g") > 0).select(F.explode(ends).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    n_texts = tails.count()
-    rows = counted.filter(F.col("n") >= max(FOOTER_TEXTS, n_texts // FOOTER_PART) // 4).collect()  # bounded by FOOTER_PART
-    n_of = {r.gram: r.n for r in rows}
-    closes = re.compile(_STOP.replace(r"\z", r"\Z"))
-    wider: dict[str, int] = {}
-    for gram, n in n_of.items():
-        cut = gram.split(" ", 1)
-        if len(cut) == 2 and not closes.search(cut[0]):
-            wider[cut[1]] = max(wider.get(cut[1], 0), n)
-    least = max(FOOTER_TEXTS, n_texts // FOOTER_PART)
+    n_texts = ends.count()
+    least = max(AFFIX_TEXTS, n_texts // AFFIX_PART)
+
+    def counts(known):
+        c = ends.select("head", "tail").mapInArrow(_grams(known), "side string, gram string, n bigint, closed bigint")
+        c = c.groupBy("side", "gram").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed")).filter(F.col("n") >= max(2, least // 4))
+        return {(r.side, r.gram): (r.n, r.closed) for r in c.collect()}
+
+    both = counts(None)
+    both |= counts({(s, g) for (s, g), (n, _) in both.items() if n >= least and g.count(" ") == 2})
+    n_of = {g: n for g, (n, _) in both.items()}
+    wider: Counter = Counter()
+    for (side, gram), n in n_of.items():
+        cut = (gram.split(" ", 1) if side == "tail" else gram.rsplit(" ", 1)[::-1]) if " " in gram else None
+        if cut and not (side == "tail" and cut[0] != _BREAK and _closes(cut[0])):
+            wider[side, cut[1]] = max(wider[side, cut[1]], n)
     names = []
-    for gram, n in n_of.items():
-        k = gram.count(" ") + 1
-        if n < least or not lo <= k <= hi or (k < hi and wider.get(gram, 0) >= 0.5 * n) or n_of.get(gram[:-1], 0) * 5 > n:
-            continue
-        if any(closes.search(w) for w in gram.split(" ")[:-1]):  # a sentence ends in it
+    for (side, gram), n in n_of.items():
+        words = gram.split(" ")
+        if n < least or wider[side, gram] >= 0.5 * n or gram == _BREAK:
             continue
-        names.append(gram)
+        if side == "tail":
+            three = " ".join(words[-3:])
+            if n_of.get((side, gram[:-1]), 0) * 5 > n or n_of.get((side, three[:-1]), 0) * 5 > n_of[side, three] or any(_closes(w) for w in words[:-1] if w not in (_BREAK, _TELETYPE_STOP)):
+                continue  # a sentence ends like this, with or without its stop, or ends inside
+            if not any(c.isalnum() for c in gram) or _TELETYPE_STOP in words[1:]:
+                continue
+            if (_STOP.search(gram) or gram.endswith(("..", "…"))) and (len(words) == 1 or both[side, gram][1] < AFTER_CLOSED * n):
+                continue
+        names.append((side, gram))
     if not names:
-        return []
-    joined = F.regexp_replace(F.regexp_replace(_flat(F.col("text")), "[0-9]+", "9"), r"(?U)\s+", " ")
-    every = texts.select(F.trim(joined).alias("t")).mapInArrow(_counter(names), "gram string, n_all bigint")
-    totals = every.groupBy("gram").agg(F.sum("n_all").alias("n_all")).collect()
-    found = sorted((r.gram for r in totals if n_of[r.gram] >= 0.9 * r.n_all), key=lambda g: g.count(" "))
-    kept: list[str] = []
-    for g in found:  # the shortest of those that end alike; a break before one is not part of it
-        g = g.removeprefix(_BREAK + " ")
-        if not any(g.endswith(" " + s) for s in kept):
-            kept.append(g)
-    return kept
-
-
-def _without_footer(tokens: Column, footers: list[str]) -> Column:
-    """Tokens without a known footer, unless they end in a stop already."""
-    if not footers:
-        return tokens
-    lo, hi = FOOTER_WORDS
-    out = tokens
-    last = F.try_element_at(tokens, F.lit(-1))
-    for k in range(hi, lo - 1, -1):
-        own = [f for f in footers if f.count(" ") + 1 == k]
-        if own:
-            tail = F.array_join(F.transform(F.slice(tokens, -k, k), lambda t: F.regexp_replace(t, "[0-9]+", "9")), " ")
-            out = F.when((F.size(tokens) >= k) & tail.isin(own), F.slice(tokens, 1, F.size(tokens) - k)).otherwise(out)
-    return F.when((F.size(tokens) > 0) & ~last.rlike(_STOP), out).otherwise(tokens)
-
-
-def _trigrams(words: Column) -> Column:
-    """Each word with the two before it and whether a sentence ends after it; the last word only if it does."""
-    pad = F.array(F.lit(_END))
-    n = F.greatest(F.size(words), F.lit(1))
-    return F.arrays_zip(
-        F.slice(words, 1, n - 1).alias("w"),
-        F.slice(F.concat(pad, words), 1, n - 1).alias("v"),
-        F.slice(F.concat(pad, pad, words), 1, n - 1).alias("u"),
-        F.slice(words, 2, n - 1).alias("x"),
-    )
+        return [], []
+    every = texts.select("text").mapInArrow(_occurrences(sorted({g for _, g in names})), "gram string, n_all bigint")
+    total = {r.gram: r.n_all for r in every.groupBy("gram").agg(F.sum("n_all").alias("n_all")).collect()}
+    found = sorted(((s, g.strip(f"{_BREAK} ")) for s, g in names if n_of[s, g] >= 0.9 * total[g]), key=lambda x: (x[1].count(" "), x))
+    kept: dict[str, list[str]] = {"head": [], "tail": []}
+    for side, g in found:  # the shortest of those that are alike
+        if not any(g == s or (g.endswith(" " + s) if side == "tail" else g.startswith(s + " ")) for s in kept[side]):
+            kept[side].append(g)
+    return kept["head"], kept["tail"]
+
+
+def _bare_ending(head: str, tail: str, n_tokens: int, headers: dict, footers: dict):
+    """(core tokens, texts before and after the core, whether a footer was taken off, words left)."""
+    tokens = _strip_breaks(_tokens(tail))
+    removed = 0
+    for _ in range(2):
+        for k in sorted(footers):
+            if len(tokens) >= k and " ".join(t for t, _, _ in tokens[-k:]) in footers[k]:
+                k -= _closes(tokens[-k][0]) and tokens[-k][0] != _BREAK  # the stop before it belongs to the text
+                tokens, removed = _strip_breaks(tokens[:-k]), removed + k
+                break
+    after = tail[tokens[-1][2] :] if tokens else tail
+    mark = _MARKS.search(tail[: len(tail) - len(after)])
+    first = _tokens(head)
+    start = 0
+    for k in sorted(headers):
+        if len(first) > k and " ".join(t for t, _, _ in first[:k]) in headers[k]:
+            start = first[k][1]
+            removed += k
+            break
+    before = head[:start] if start else head[: len(head) - len(head.lstrip())]
+    return tokens, before, (mark[0] if mark else "") + after, removed > 0, n_tokens - removed
+
+
+def _by_words(grams: list[str]) -> dict[int, set]:
+    out: dict[int, set] = {}
+    for g in grams:
+        out.setdefault(g.count(" ") + 1, set()).add(g)
+    return out
+
+
+# ----------------------------------------------------------- contexts of words
+
+
+def _word_codes(texts):
+    """(hash of each word, text it is in, letters of each word) of an Arrow array of texts; ends of sentences and of lines are words of their own (_sign)."""
+    import pyarrow.compute as pc
+    import xxhash
+
+    t = pc.replace_substring_regex(texts, r"\.\.+", "…")
+    t = pc.replace_substring_regex(t, rf"[.!?]{_CLOSERS}(?:[\s\p{{Z}}]|$)", f" {_END} ")
+    t = pc.replace_substring_regex(t, rf"(^|\s){_TELETYPE_STOP}(\s|$)", f" {_END} ")
+    t = pc.utf8_lower(pc.replace_substring_regex(t, rf"[\r\n{_BREAK}]+", f" {_BREAK} "))
+    t = pc.replace_substring_regex(pc.replace_substring_regex(t, "[0-9]+", "9"), "[" + re.escape(_PUNCTUATION) + "]", "")
+    lists = pc.utf8_split_whitespace(t)
+    words = lists.flatten().dictionary_encode()
+    of = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    vocabulary = words.dictionary.to_pylist()
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    real = np.array([w != "" for w in vocabulary], bool)[codes] if len(codes) else np.zeros(0, bool)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], "uint64")
+    letters = np.array([len(w) for w in vocabulary], "int64")
+    codes, of = codes[real], of[real]
+    return (hashes[codes], of, letters[codes]) if len(codes) else (np.zeros(0, "uint64"), of, np.zeros(0, "int64"))
+
+
+def _sign(sign: str) -> np.uint64:
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(sign))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two."""
+    with np.errstate(over="ignore"):
+        x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+
+def _contexts(h: np.ndarray, of: np.ndarray):
+    """For each word the hashes of it with one and with two words before it, as far as the sentence goes; and whether a sentence ends after it.
+
+    That is -1, unknown, where the text ends, and before a line break among
+    its last ENDS words, as one may stand between a cut and a footer.
+    """
+    end, line = _sign(_END), _sign(_BREAK)
+    if not len(h):
+        return h, h, np.zeros(0, "int64")
+    lines = h == line
+    h = np.where(lines, end, h)
+    same = np.r_[False, of[1:] == of[:-1]]
+    v = np.where(same, np.r_[end, h[:-1]], end)
+    u = np.where(same, np.r_[end, v[:-1]], end)
+    u = np.where(v == end, end, u)
+    two = _mixed(v, h)
+    ends = np.r_[np.where(same[1:], (h[1:] == end).astype("int64"), -1), -1]
+    left = np.searchsorted(of, of, "right") - np.arange(len(of))  # words to the end of the text
+    ends[np.r_[lines[1:], False] & (left <= ENDS)] = -1
+    ends[h == end] = -1
+    return two, _mixed(u, two), ends
+
+
+def _context_counts(bits: np.ndarray):
+    """How often each context that passes the filter occurs, and how often a sentence ends after it; one row without a context has the letters and sentences of all."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _length_spikes(texts: DataFrame) -> DataFrame:
-    """Lengths of a source that stand out of those around them: source, measure, length, excess (texts above the usual, over the usual)."""
-    measured = texts.select("source", F.explode(F.array(F.struct(F.lit("characters").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")))).alias("m"))
-    counts = measured.groupBy("source", "m.measure", "m.length").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
-    around = (F.sum("n").over(w) - F.col("n")) / (2 * SPIKE_AROUND)
-    usual = F.greatest(around, F.lit(0.25))
-    return counts.withColumn("excess", F.col("n") / usual - 1).filter((F.col("n") >= SPIKE_TEXTS) & (F.col("excess") >= SPIKE_TIMES - 1)).select("source", "measure", "length", "n", "excess")
+        for b in batches:
+            for part in _slices(b.column(0)):
+                h, of, letters = _word_codes(part)
+                two, three, ends = _contexts(h, of)
+                seen = ends >= 0
+                total = (int((letters[seen] + 1).sum()), int(ends[seen].sum()))
+                at = two & np.uint64((1 << FILTER_BITS) - 1)
+                seen &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                key, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
+                n = np.bincount(inverse, minlength=len(key)).astype("int64")
+                e = np.bincount(inverse, ends[seen], minlength=len(key)).astype("int64")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view("int64")), pa.array(two[seen][first].view("int64")), pa.array(n), pa.array(e)],
+                    names=["three", "two", "n", "e"],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total[0]], pa.int64()), pa.array([total[1]], pa.int64())], names=["three", "two", "n", "e"])
 
+    return run
 
-def judged_texts(texts: DataFrame) -> DataFrame:
-    """One row per text: item_id, source, is_text, at_spike, ends, limit, truncated.
-
-    ``texts`` has (item_id, source, text); other columns are ignored. Null,
-    blank and very short texts without a stop (NOTE_WORDS) are no texts and
-    never truncated. A null source is a source of its own. Repeated texts are
-    judged alike but counted each. Whole texts are read.
-
-    Method: per source, lengths in characters and bytes that stand out of
-    their neighbourhood are spikes; texts of such a length without a stop are
-    suspects. As field limits are not the only cut, and complete texts lack a
-    stop too, each ending without one is then held against the corpus: of all
-    places with the same last three words (two, where unseen), the
-    share ``ends`` at which a sentence ends. It is truncated if that share is
-    below ``limit``, which weighs how often the source drops the last stop
-    against how often it cuts, at this length and with or without a footer. Footers put after a text are
-    learned and taken off before. Endings with an ellipsis sign, a
-    replacement character, a comma or an open bracket are cut.
+
+def _endings(headers: list[str], footers: list[str]):
+    """What is judged of each text: its lengths without what was put around it, how it ends, and the context of its last word."""
+    heads, foots = _by_words(headers), _by_words(footers)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = {k: [] for k in ("chars", "bytes", "body_chars", "body_bytes", "bare", "is_text", "hanging", "stop")}
+            last_words = []
+            for n_chars, n_bytes, n_tokens, head, tail in zip(*[b.column(i).to_pylist() for i in (2, 3, 4, 5, 6)]):
+                tokens, before, after, affixed, left = _bare_ending(head, tail, n_tokens, heads, foots)
+                last = tail[tokens[-1][1] : tokens[-1][2]] if tokens else ""
+                stop = bool(_STOP.search(last)) or last == _TELETYPE_STOP
+                lone = bool(last) and not stop and not any(c.isalnum() for c in last)
+                blank = len(head) - len(head.lstrip())
+                chars, size = n_chars - len(after), n_bytes - len(after.encode())
+                for k, x in (
+                    ("chars", chars - blank), ("bytes", size - blank), ("body_chars", chars - len(before)), ("body_bytes", size - len(before.encode())), ("bare", not affixed),
+                    ("is_text", left > NOTE_WORDS or stop), ("hanging", lone or bool(_HANGING.search(last))), ("stop", stop),
+                ):
+                    rows[k].append(x)
+                last_words.append(" ".join("\n" if t == _BREAK else tail[s:e] for t, s, e in tokens[-8:]))
+            h, of, _ = _word_codes(pa.array(last_words, pa.string()))
+            two, three, _ = _contexts(h, of)
+            at = np.searchsorted(of, np.arange(b.num_rows), "right") - 1  # the last word of each
+            ok = (at >= 0) & (of[np.maximum(at, 0)] == np.arange(b.num_rows)) if len(of) else np.zeros(b.num_rows, bool)
+            pick = lambda a: pa.array(np.where(ok, a[np.maximum(at, 0)].view("int64") if len(a) else 0, 0))
+            numbers = [pa.array(rows[k], pa.int64()) for k in ("chars", "bytes", "body_chars", "body_bytes")]
+            flags = [pa.array(rows[k], pa.bool_()) for k in ("bare", "is_text", "hanging", "stop")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(7), *numbers, *flags, pick(two), pick(three)],
+                names=["item_id", "source", "digest", "chars", "bytes", "body_chars", "body_bytes", "bare", "is_text", "hanging", "stop", "two", "three"],
+            )
+
+    return run
+
+
+def _ending_shares(texts: DataFrame, open_ends: DataFrame) -> tuple[DataFrame, float]:
+    """(three, ends): for each context of an open ending the share of its places in all texts at which a sentence ends; and the letters per sentence.
+
+    A filter of fixed size keeps contexts that no open ending has from being
+    shuffled; those that pass it by chance are dropped by the join.
     """
-    base = texts.select("item_id", "source", "text").filter(F.length(F.trim("text")) > 0)
-    toks = _tokens(F.col("text"))
-    t = base.select("item_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), toks.alias("tokens")).filter(F.size("tokens") > 0)
-    tail = F.slice("tokens", -F.least(F.size("tokens"), F.lit(TAIL)), TAIL)
-    t = stage(t.select("item_id", "source", "n_chars", "n_bytes", F.size("tokens").alias("n_tokens"), tail.alias("tail")), "tails")
-    t = t.withColumn("tail", _bare(F.col("tail"), F.size("tail"))).filter(F.size("tail") > 0)
-    footers = learned_footers(base, t)
-    facts = t.withColumn("core", F.col("tail"))
-    for _ in range(2):
-        facts = facts.withColumn("core", _without_footer(F.col("core"), footers)).withColumn("core", _bare(F.col("core"), F.size("core")))
-    facts = facts.withColumn("left", F.col("n_tokens") - F.size("tail") + F.size("core"))
-    last = F.try_element_at("core", F.lit(-1))
-    # a mark that stands alone after the text, or an ellipsis of dots, hides the last word
-    lone = ~last.rlike(r"[\p{L}\p{N}]")
-    hanging = F.coalesce(last.rlike("[…�,;:(\\[]\\z") | (lone & ~last.rlike(_STOP)), F.lit(False))
-    stop = F.coalesce(last.rlike(_STOP), F.lit(False)) & ~F.coalesce(last.rlike(r"\.\.+\z"), F.lit(False)) | F.coalesce(last == _TELETYPE_STOP, F.lit(False))
-    some = F.when(F.size("core") > 0, F.slice("core", -F.least(F.size("core"), F.lit(8)), 8)).otherwise(F.array().cast("array<string>"))
-    words = _words(F.array_join(some, " "))
-    padded = F.concat(F.array(F.lit(_END), F.lit(_END)), words)
-    facts = facts.select(
-        "item_id", "source", "n_chars", "n_bytes", (F.size("core") == F.size("tail")).alias("bare"),
-        ((F.col("left") > NOTE_WORDS) | stop).alias("is_text"), hanging.alias("hanging"), stop.alias("stop"),
-        F.try_element_at(padded, F.lit(-3)).alias("u"), F.try_element_at(padded, F.lit(-2)).alias("v"), F.try_element_at(padded, F.lit(-1)).alias("w"),
-    )
-    facts = stage(facts, "endings")
-
-    seen = base.select(_words(F.col("text")).alias("words")).select(F.explode(_trigrams(F.col("words"))).alias("g")).select("g.*")
-    grams = (
-        seen.filter((F.col("w") != _END) & F.col("w").isNotNull())
-        .select(F.when(F.col("v") == _END, F.lit(_END)).otherwise(F.col("u")).alias("u"), "v", "w", (F.col("x") == _END).cast("int").alias("e"), F.length("w").alias("c"))
-        .groupBy("u", "v", "w")
-        .agg(F.count("*").alias("n"), F.sum("e").alias("e"), F.sum("c").alias("c"))
-    )
-    grams = stage(grams, "contexts")
-    n_chars, n_ends = grams.agg(F.sum(F.col("c") + F.col("n")), F.sum("e")).first()
-    per_end = max(1.0, (n_chars or 0) / max(1, n_ends or 0))
-
-    on = ["u", "v", "w"]
-    open_ends = facts.filter("is_text and not stop").withColumn("u", F.when(F.col("v") == _END, F.lit(_END)).otherwise(F.col("u")))
-    tails = open_ends.groupBy(*on).agg(F.count("*").alias("n"))
-    two = grams.groupBy("v", "w").agg(F.sum("n").alias("n2"), F.sum("e").alias("e2"))
+    wanted = open_ends.groupBy("two", "three").agg(F.count("*").alias("n_texts"))
+    bit = F.col("two").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    marks = wanted.groupBy(F.shiftrightunsigned(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(two & {63} as int))")).alias("bits")).toPandas()  # 2^(FILTER_BITS - 6) rows at most
+    bits = np.zeros(1 << (FILTER_BITS - 6), "uint64")
+    bits[marks["w"].to_numpy("int64")] = marks["bits"].to_numpy("int64").view("uint64")
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def count(batches):
+        yield from _context_counts(shared.value)(batches)
+
+    seen = texts.select("text").mapInArrow(count, "three bigint, two bigint, n bigint, e bigint")
+    seen = stage(seen.groupBy("three", "two").agg(F.sum("n").alias("n"), F.sum("e").alias("e")), "contexts")
+    n_chars, n_ends = seen.filter("three is null").agg(F.sum("n"), F.sum("e")).first()
+    by_two = seen.filter("two is not null").groupBy("two").agg(F.sum("n").alias("n2"), F.sum("e").alias("e2"))
     # a last word never met after the one before it is taken for a part of a word
     share = F.when(F.col("n3") >= 1, F.col("e3") / F.col("n3")).when(F.col("n2") >= 1, F.col("e2") / F.col("n2")).otherwise(0.0)
-    known = (
-        tails.join(grams.select(*on, F.col("n").alias("n3"), F.col("e").alias("e3")), on, "left")
-        .join(two, ["v", "w"], "left")
-        .select(*on, share.alias("ends"))
+    known = wanted.join(seen.select("three", F.col("n").alias("n3"), F.col("e").alias("e3")), "three", "left").join(by_two, "two", "left")
+    return stage(known.select("three", share.alias("ends"), "n_texts"), "ending_shares"), max(1.0, (n_chars or 0) / max(1, n_ends or 0))
+
+
+# -------------------------------------------------------------------- lengths
+
+
+def length_spikes(open_texts: DataFrame) -> DataFrame:
+    """Lengths at which a field ends: s, measure, length, excess (texts above the usual, over the usual), shoulder (the same for the lengths just below, null if usual).
+
+    ``open_texts`` has (s, digest, chars, bytes, body_chars, body_bytes). Per
+    source, and for characters and bytes with and without a header, the
+    histogram of lengths is tested: a length is the maximum of a field if its
+    number of different texts is too large to come by chance (a Poisson bound
+    by the lengths around it) and no more texts lie just above it than just below. Where a
+    field cuts at a word, the lengths just below are tested in the same way.
+    """
+    kinds = ("chars", "bytes", "body_chars", "body_bytes")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("length")) for k in kinds])).alias("m")
+    counts = open_texts.select("s", "digest", *kinds).distinct().select("s", each).groupBy("s", "m.measure", "m.length").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("s", "measure").orderBy("length")  # one row per length, and lengths have an end
+    within = lambda a, b: F.coalesce(F.sum("n").over(w.rangeBetween(a, b)), F.lit(0))
+    usual = F.greatest(F.lit(LEAST_USUAL), (F.col("above") + F.col("far")) / (2 * SPIKE_AROUND))
+    surprise = lambda n, mu: F.when(n > mu, n * F.log(n / mu) - n + mu).otherwise(0.0)
+    near, n = F.col("near"), F.col("n")
+    return (
+        counts.withColumn("above", within(1, SPIKE_AROUND))
+        .withColumn("below", within(-SPIKE_AROUND, -1))
+        .withColumn("far", within(-SHOULDER - SPIKE_AROUND, -SHOULDER - 1))
+        .withColumn("near", within(-SHOULDER, -1))
+        .withColumn("usual", usual)
+        .filter((surprise(n, F.col("usual")) >= SPIKE_TEST) & (F.col("above") <= F.col("below") + F.col("n")))
+        .withColumn("shoulder", F.when(surprise(near, SHOULDER * F.col("usual")) >= SPIKE_TEST, near / (SHOULDER * F.col("usual")) - 1))
+        .select("s", "measure", "length", (n / F.col("usual") - 1).alias("excess"), "shoulder")
     )
-    known = stage(known, "ending_shares")
-    scored = split_join(open_ends, known, on, heavy_keys(tails, on))
 
-    spikes = _length_spikes(facts.filter("is_text"))
-    wide = {m: spikes.filter(F.col("measure") == m).select(F.coalesce("source", F.lit("")).alias("s"), F.col("length").alias(c), F.col("excess").alias(f"by_{m}")) for m, c in (("characters", "n_chars"), ("bytes", "n_bytes"))}
-    scored = scored.withColumn("s", F.coalesce("source", F.lit("")))
-    # spikes are at most one length in SPIKE_TEXTS x SPIKE_TIMES texts, and lengths have an end: few rows
-    scored = scored.join(wide["characters"], ["s", "n_chars"], "left").join(wide["bytes"], ["s", "n_bytes"], "left")
-    scored = stage(scored.withColumn("excess", F.when(F.col("bare"), F.greatest("by_characters", "by_bytes"))).drop("by_characters", "by_bytes"), "scored_endings")
 
-    usual = F.col("excess").isNull()
+def _at_spikes(open_texts: DataFrame, spikes: DataFrame) -> DataFrame:
+    """``open_texts`` with ``excess`` (null unless at a spike in any measure) and ``shoulder`` (null unless just below one)."""
+    below = spikes.filter("shoulder is not null").select("s", "measure", F.explode(F.sequence(F.col("length") - SHOULDER, F.col("length") - 1)).alias("length"), "shoulder")
+    every = spikes.select("s", "measure", "length", "excess", F.lit(None).cast("double").alias("shoulder")).unionByName(below, allowMissingColumns=True)
+    table = stage(every.groupBy("s", "measure", "length").agg(F.max("excess").alias("excess"), F.max("shoulder").alias("shoulder")), "spikes")
+    few = table.count() <= BROADCAST_ROWS
+    out = open_texts
+    kinds = ("chars", "bytes", "body_chars", "body_bytes")
+    for k in kinds:
+        side = table.filter(F.col("measure") == k).select("s", F.col("length").alias(k), F.col("excess").alias(f"x_{k}"), F.col("shoulder").alias(f"y_{k}"))
+        if few:
+            out = out.join(F.broadcast(side), ["s", k], "left")
+        else:  # spikes are hot keys by their nature
+            out = split_join(out, side, ["s", k], heavy_keys(out.groupBy("s", k).agg(F.count("*").alias("n")), ["s", k]), "left")
+    xs, ys = [F.col(f"x_{k}") for k in kinds], [F.col(f"y_{k}") for k in kinds]
+    return out.withColumn("excess", F.greatest(*xs)).withColumn("shoulder", F.greatest(*ys)).drop(*[f"{p}_{k}" for p in "xy" for k in kinds])
+
+
+def judged_texts(texts: DataFrame) -> DataFrame:
+    """One row per text: item_id, source, is_text, at_spike, ends, limit, found_by, truncated.
+
+    ``texts`` has (item_id, source, text); other columns are ignored. Null and
+    blank texts give no row; placeholders and notes (up to NOTE_WORDS words
+    without a stop) are no texts and never truncated. A null source is a
+    source of its own. Repeated texts are judged alike but count once in the
+    histograms. Whole texts are read.
+
+    Method: what was put before and after many texts is learned and taken off.
+    Then lengths decide first: per source, histograms in characters and bytes
+    are tested for spikes at the maximum of a field (length_spikes), and a
+    text of such a length without a stop is cut (found_by 'length'); only in a
+    source that hardly ever sets one, so that its lack says nothing, the
+    ending is looked at too. What is cut in transfer has any length, so a second way follows: an ending without
+    a stop is held against the corpus, in all of which the places with the
+    same last three words (two, where unseen) are counted; ``ends`` is the
+    share of them at which a sentence ends. A text is cut if that is below
+    ``limit``, which weighs how often the source drops the last stop against
+    how often it cuts ('context'); just below a spike, where fields cut at a
+    word, the limit is higher ('near_length'). An ellipsis sign, a replacement
+    character, a comma or an open bracket at the end is a cut too ('mark').
+    """
+    base = texts.select("item_id", "source", "text")
+    kinds = dict(base.dtypes)
+    ids = f"item_id {kinds['item_id']}, source string"
+    ends = stage(base.mapInArrow(_both_ends, f"{ids}, n_chars bigint, n_bytes bigint, n_tokens int, head string, tail string, digest bigint"), "ends")
+    headers, footers = learned_affixes(base, ends)
+    lengths = "chars bigint, bytes bigint, body_chars bigint, body_bytes bigint"
+    facts = stage(ends.mapInArrow(_endings(headers, footers), f"{ids}, digest bigint, {lengths}, bare boolean, is_text boolean, hanging boolean, stop boolean, two bigint, three bigint"), "endings")
+    facts = facts.withColumn("s", F.coalesce("source", F.lit("")))
+    open_ends = facts.filter("is_text and not stop")
+
+    shares, per_end = _ending_shares(base, open_ends)
+    scored = split_join(open_ends, shares.groupBy("three").agg(F.first("ends").alias("ends")), ["three"], heavy_keys(shares.select("three", F.col("n_texts").alias("n")), ["three"]))
+    scored = stage(_at_spikes(scored, length_spikes(open_ends)), "scored_endings")
+
+    usual = F.col("excess").isNull() & F.col("shoulder").isNull()
     by = ["s", "bare"]
-    rates = (
-        scored.groupBy(*by).agg(F.count_if(usual & ~F.col("hanging") & (F.col("ends") >= 0.5)).alias("open"), F.count_if(usual & (F.col("hanging") | (F.col("ends") < 0.001))).alias("cut"))
-    )
-    all_of = facts.filter("is_text").groupBy(F.coalesce("source", F.lit("")).alias("s"), "bare").agg(F.count("*").alias("n"))
+    rates = scored.groupBy(*by).agg(F.count_if(usual & ~F.col("hanging") & (F.col("ends") >= 0.5)).alias("open"), F.count_if(usual & (F.col("hanging") | (F.col("ends") < 0.001))).alias("cut"))
+    all_of = facts.filter("is_text").groupBy(*by).agg(F.count("*").alias("n"))
     rates = all_of.join(rates, by, "left").na.fill(0).select(*by, "n", ((F.col("open") + 1) / (F.col("n") + 2)).alias("u_open"), ((F.col("cut") + 1) / (F.col("n") + 2)).alias("u_cut"))
     rates = stage(rates, "source_rates")
     near = F.greatest(F.lit(LEAST_ENDS), F.least(F.lit(MOST_ENDS), F.col("u_cut") / F.col("u_open") / per_end))
-    limit = F.when(usual, near).otherwise(F.greatest(near, F.col("excess") / F.col("u_open") / per_end))
+    weighed = lambda excess: excess / F.col("u_open") / per_end
+    limit = F.when(F.col("excess").isNotNull(), F.greatest(near, weighed(F.col("excess")))).when(F.col("shoulder").isNotNull(), F.greatest(near, F.least(F.lit(MOST_ENDS), weighed(F.col("shoulder"))))).otherwise(near)
+    below = F.col("ends") < limit
+    way = F.when(F.col("excess").isNotNull() & (below | (limit >= 1)), "length").when(F.col("hanging"), "mark").when(below & F.col("shoulder").isNotNull(), "near_length").when(below, "context")
     judged = split_join(scored, rates, by, heavy_keys(rates.select(*by, "n"), by)).select(
-        "item_id", "source", F.lit(True).alias("is_text"), F.col("excess").isNotNull().alias("at_spike"), "ends", limit.alias("limit"),
-        (F.col("hanging") | (F.col("ends") < limit)).alias("truncated"),
-    )
+        "item_id", "source", F.lit(True).alias("is_text"), F.col("excess").isNotNull().alias("at_spike"), "ends", limit.alias("limit"), way.alias("found_by")
+    )
     closed = facts.filter("not is_text or stop").select(
-        "item_id", "source", "is_text", F.lit(False).alias("at_spike"), F.lit(None).cast("double").alias("ends"), F.lit(None).cast("double").alias("limit"), F.lit(False).alias("truncated")
+        "item_id", "source", "is_text", F.lit(False).alias("at_spike"), F.lit(None).cast("double").alias("ends"), F.lit(None).cast("double").alias("limit"), F.lit(None).cast("string").alias("found_by")
     )
-    return judged.unionByName(closed)
-
-
-def _flat(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\r\n]+", f" {_BREAK} ")
+    return judged.unionByName(closed).withColumn("truncated", F.col("found_by").isNotNull())
 
 
 def truncation_report(texts: DataFrame) -> DataFrame:
-    """Per source: texts, those truncated, those of them at a spike of lengths, and the share truncated."""
+    """Per source: texts, those truncated, how many of them by each way, and the share truncated."""
     return (
         judged_texts(texts)
         .filter("is_text")
         .groupBy("source")
-        .agg(F.count("*").alias("n_texts"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("truncated") & F.col("at_spike")).alias("n_at_spike"))
+        .agg(
+            F.count("*").alias("n_texts"),
+            F.count_if("truncated").alias("n_truncated"),
+            *[F.count_if(F.col("found_by") == k).alias(f"n_by_{k}") for k in ("length", "near_length", "mark", "context")],
+        )
         .withColumn("truncated_share", F.round(F.col("n_truncated") / F.col("n_texts"), 6))
     )

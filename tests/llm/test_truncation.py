@@ -62,3 +62,45 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(*r, "clash", 1, 1) for r in rows], SCHEMA)
     rep = truncation.truncation_report(df).collect()
     assert sum(r.n_texts for r in rep) == 200 and all(0 <= r.truncated_share <= 1 for r in rep)
+
+
+def test_lengths_decide_first(spark):
+    rnd = random.Random(3)
+    rows, cut = [], set()
+    for i in range(1200):
+        t = " ".join(sentence(rnd) for _ in range(rnd.randint(2, 6)))
+        if len(t) > 250:
+            t = t[:250].rstrip()
+            if not t.endswith("."):
+                cut.add(i)
+            if i % 3 == 0:
+                t = f"Ref {rnd.randint(1, 9999)} / {t}"
+            elif i % 3 == 1:
+                t += rnd.choice([" ", "\n"]) + rnd.choice(FOOTERS)
+        rows.append((i, "limited", t))
+    got = run(spark, rows)
+    by = {i: r.found_by for i, r in got.items()}
+    # a cut behind a blank is one character short of the limit
+    assert sum(by[i] == "length" for i in cut) > 0.8 * len(cut) and sum(by[i] in ("length", "near_length") for i in cut) > 0.95 * len(cut)
+    assert sum(by[i] is not None for i in cut) > 0.98 * len(cut)
+    assert not any(by[i] for i in set(got) - cut)
+
+
+def test_footers_of_any_length_and_pieces_of_words(spark):
+    rnd = random.Random(4)
+    long = "this copy was made for the archive of the regional desk and is not signed"
+    rows, cut = [], set()
+    for i in range(1500):
+        t = " ".join(sentence(rnd) for _ in range(3))
+        if i % 5 == 0:
+            t = t[: rnd.randrange(60, 200)].rstrip()
+            if not t.endswith("."):
+                cut.add(i)
+        if i % 7 == 0:
+            t += " " + rnd.choice(["ENDE", long])
+        rows.append((i, "free", t))
+    df = spark.createDataFrame([(*r, "clash", 1, 1) for r in rows], SCHEMA)
+    _, footers = truncation.learned_affixes(df, df.select("item_id", "source", "text").mapInArrow(truncation._both_ends, "item_id long, source string, n_chars bigint, n_bytes bigint, n_tokens int, head string, tail string, digest bigint"))
+    assert set(footers) == {"ENDE", long}
+    found = {i for i, r in run(spark, rows).items() if r.truncated}
+    assert len(found & cut) > 0.93 * len(cut) and len(found & cut) > 0.97 * len(found)
