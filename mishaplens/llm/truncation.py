@@ -55,6 +55,20 @@ def _strip_breaks(tokens: list) -> list:
     return tokens
 
 
+def _without_breaks(words: list[str]) -> list[str]:
+    while words and words[-1] == _BREAK:
+        words = words[:-1]
+    return words
+
+
+def _normal(column):
+    """Texts with a sign for line breaks and digits as one 9, in Arrow."""
+    import pyarrow.compute as pc
+
+    t = pc.replace_substring_regex(pc.fill_null(column, ""), r"[\r\n]\s*", f" {_BREAK} ")
+    return pc.replace_substring_regex(t, "[0-9]+", "9")
+
+
 def _slices(column):
     """Parts of an Arrow column of texts with about SLICE characters each."""
     import pyarrow.compute as pc
@@ -103,11 +117,11 @@ def _grams(known: set | None):
         for b in batches:
             n: Counter = Counter()
             closed: Counter = Counter()
-            for text in b.column(0).to_pylist():
-                t = [x for x, _, _ in _strip_breaks(_tokens(text))][:ENDS]
+            for text in _normal(b.column(0)).to_pylist():
+                t = text.split()[:ENDS]
                 n.update(("head", " ".join(t[:k])) for k in _sizes(known, "head", t[:3], len(t)))
-            for text in b.column(1).to_pylist():
-                t = [x for x, _, _ in _strip_breaks(_tokens(text))][-ENDS:]
+            for text in _normal(b.column(1)).to_pylist():
+                t = _without_breaks(text.split())[-ENDS:]
                 for k in _sizes(known, "tail", t[-3:], len(t)):
                     gram = ("tail", " ".join(t[-k:]))
                     n[gram] += 1
@@ -142,9 +156,8 @@ def _occurrences(patterns: list[str]):
         n = np.zeros(len(patterns), "int64")
         for b in batches:
             for part in _slices(b.column(0)):
-                t = pc.replace_substring_regex(part, r"[\r\n]\s*", f" {_BREAK} ")
-                t = pc.replace_substring_regex(pc.replace_substring_regex(t, "[0-9]+", "9"), r"[\s\p{Z}\x1c-\x1f]+", " ")
-                at = [i for text in t.drop_null().to_pylist() for _, i in auto.iter(f" {text} ")]
+                words = pc.binary_join(pc.utf8_split_whitespace(_normal(part)), " ")
+                at = [i for text in words.to_pylist() for _, i in auto.iter(f" {text} ")]
                 n += np.bincount(np.array(at, "int64"), minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(n)], names=["gram", "n_all"])
 
@@ -271,26 +284,31 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _contexts(h: np.ndarray, of: np.ndarray):
-    """For each word the hashes of it with one and with two words before it, as far as the sentence goes; and whether a sentence ends after it.
+    """For each word the hash of it with the word before, the word before both, as far as the sentence goes; and whether a sentence ends after it.
 
     That is -1, unknown, where the text ends, and before a line break among
     its last ENDS words, as one may stand between a cut and a footer.
     """
     end, line = _sign(_END), _sign(_BREAK)
     if not len(h):
-        return h, h, np.zeros(0, "int64")
-    lines = h == line
-    h = np.where(lines, end, h)
-    same = np.r_[False, of[1:] == of[:-1]]
-    v = np.where(same, np.r_[end, h[:-1]], end)
-    u = np.where(same, np.r_[end, v[:-1]], end)
-    u = np.where(v == end, end, u)
-    two = _mixed(v, h)
-    ends = np.r_[np.where(same[1:], (h[1:] == end).astype("int64"), -1), -1]
-    left = np.searchsorted(of, of, "right") - np.arange(len(of))  # words to the end of the text
-    ends[np.r_[lines[1:], False] & (left <= ENDS)] = -1
-    ends[h == end] = -1
-    return two, _mixed(u, two), ends
+        return h, h, np.zeros(0, "int8")
+    lines = np.flatnonzero(h == line)
+    h = h.copy()
+    h[lines] = end
+    ended = h == end
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    last = np.r_[first[1:], len(of)] - 1
+    v = np.r_[end, h[:-1]]
+    v[first] = end
+    u = np.r_[end, v[:-1]]
+    u[v == end] = end
+    ends = np.empty(len(h), "int8")
+    ends[:-1] = ended[1:]
+    ends[last] = -1
+    near = lines[last[np.searchsorted(last, lines)] - lines < ENDS]
+    ends[near[near > 0] - 1] = -1
+    ends[ended] = -1
+    return _mixed(v, h), u, ends
 
 
 def _context_counts(bits: np.ndarray):
@@ -302,16 +320,17 @@ def _context_counts(bits: np.ndarray):
         for b in batches:
             for part in _slices(b.column(0)):
                 h, of, letters = _word_codes(part)
-                two, three, ends = _contexts(h, of)
+                two, before, ends = _contexts(h, of)
                 seen = ends >= 0
-                total = (int((letters[seen] + 1).sum()), int(ends[seen].sum()))
+                total = (int(letters[seen].sum() + seen.sum()), int((ends > 0).sum()))
                 at = two & np.uint64((1 << FILTER_BITS) - 1)
-                seen &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-                key, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
+                kept = np.flatnonzero(seen & (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+                two = two[kept]
+                key, first, inverse = np.unique(_mixed(before[kept], two), return_index=True, return_inverse=True)
                 n = np.bincount(inverse, minlength=len(key)).astype("int64")
-                e = np.bincount(inverse, ends[seen], minlength=len(key)).astype("int64")
+                e = np.bincount(inverse, ends[kept], minlength=len(key)).astype("int64")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view("int64")), pa.array(two[seen][first].view("int64")), pa.array(n), pa.array(e)],
+                    [pa.array(key.view("int64")), pa.array(two[first].view("int64")), pa.array(n), pa.array(e)],
                     names=["three", "two", "n", "e"],
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total[0]], pa.int64()), pa.array([total[1]], pa.int64())], names=["three", "two", "n", "e"])
@@ -320,37 +339,46 @@ def _context_counts(bits: np.ndarray):
 
 
 def _endings(headers: list[str], footers: list[str]):
-    """What is judged of each text: its lengths without what was put around it, how it ends, and the context of its last word."""
+    """What is judged of each text: its lengths without what was put around it, how it ends, and the context of its last word. Texts that close need no more than that."""
     heads, foots = _by_words(headers), _by_words(footers)
+    last_of_footer = {g.rsplit(" ", 1)[-1] for g in footers}
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             rows = {k: [] for k in ("chars", "bytes", "body_chars", "body_bytes", "bare", "is_text", "hanging", "stop")}
-            last_words = []
+            last_words, open_rows = [], []
             for n_chars, n_bytes, n_tokens, head, tail in zip(*[b.column(i).to_pylist() for i in (2, 3, 4, 5, 6)]):
-                tokens, before, after, affixed, left = _bare_ending(head, tail, n_tokens, heads, foots)
-                last = tail[tokens[-1][1] : tokens[-1][2]] if tokens else ""
-                stop = bool(_STOP.search(last)) or last == _TELETYPE_STOP
-                lone = bool(last) and not stop and not any(c.isalnum() for c in last)
-                blank = len(head) - len(head.lstrip())
-                chars, size = n_chars - len(after), n_bytes - len(after.encode())
-                for k, x in (
-                    ("chars", chars - blank), ("bytes", size - blank), ("body_chars", chars - len(before)), ("body_bytes", size - len(before.encode())), ("bare", not affixed),
-                    ("is_text", left > NOTE_WORDS or stop), ("hanging", lone or bool(_HANGING.search(last))), ("stop", stop),
-                ):
+                last = tail.rsplit(None, 1)[-1]
+                if _closes(last) and re.sub("[0-9]+", "9", last) not in last_of_footer:
+                    facts = (n_chars, n_bytes, n_chars, n_bytes, True, True, False, True)
+                else:
+                    tokens, before, after, affixed, left = _bare_ending(head, tail, n_tokens, heads, foots)
+                    last = tail[tokens[-1][1] : tokens[-1][2]] if tokens else ""
+                    stop = bool(_STOP.search(last)) or last == _TELETYPE_STOP
+                    lone = bool(last) and not stop and not any(c.isalnum() for c in last)
+                    blank = len(head) - len(head.lstrip())
+                    chars, size = n_chars - len(after), n_bytes - len(after.encode())
+                    facts = (chars - blank, size - blank, chars - len(before), size - len(before.encode()), not affixed, left > NOTE_WORDS or stop, lone or bool(_HANGING.search(last)), stop)
+                    if not stop:
+                        open_rows.append(len(rows["stop"]))
+                        last_words.append(" ".join("\n" if t == _BREAK else tail[s:e] for t, s, e in tokens[-8:]))
+                for k, x in zip(rows, facts):
                     rows[k].append(x)
-                last_words.append(" ".join("\n" if t == _BREAK else tail[s:e] for t, s, e in tokens[-8:]))
             h, of, _ = _word_codes(pa.array(last_words, pa.string()))
-            two, three, _ = _contexts(h, of)
-            at = np.searchsorted(of, np.arange(b.num_rows), "right") - 1  # the last word of each
-            ok = (at >= 0) & (of[np.maximum(at, 0)] == np.arange(b.num_rows)) if len(of) else np.zeros(b.num_rows, bool)
-            pick = lambda a: pa.array(np.where(ok, a[np.maximum(at, 0)].view("int64") if len(a) else 0, 0))
+            two, before_two, _ = _contexts(h, of)
+            three = _mixed(before_two, two)
+            at = np.searchsorted(of, np.arange(len(open_rows)), "right") - 1  # the last word of each
+            out = np.zeros((2, b.num_rows), "int64")
+            if len(of):
+                ok = (at >= 0) & (of[np.maximum(at, 0)] == np.arange(len(open_rows)))
+                for o, a in zip(out, (two, three)):
+                    o[np.array(open_rows, "int64")[ok]] = a[at[ok]].view("int64")
             numbers = [pa.array(rows[k], pa.int64()) for k in ("chars", "bytes", "body_chars", "body_bytes")]
             flags = [pa.array(rows[k], pa.bool_()) for k in ("bare", "is_text", "hanging", "stop")]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(7), *numbers, *flags, pick(two), pick(three)],
+                [b.column(0), b.column(1), b.column(7), *numbers, *flags, pa.array(out[0]), pa.array(out[1])],
                 names=["item_id", "source", "digest", "chars", "bytes", "body_chars", "body_bytes", "bare", "is_text", "hanging", "stop", "two", "three"],
             )
 
