@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mishaplens.functions.text import one_line
 from mishaplens.operators import entries, retrieval
+from mishaplens.session import stage
 from mishaplens.sources.tables import missing_inputs, setting, table
 
 # The tool as a chat service is told of it.
@@ -25,15 +26,23 @@ TOOL = {
         },
     },
 }
-NO_TOOL = "The model did not find a reason to call the diagnostic tool for this query."
+NO_TOOL = "No diagnosis was made: the model answered without calling the tool."
+NOTHING_SIMILAR = "No entry of the knowledge base can be compared with this text."
+DICTIONARY_ONLY = "The closest entry is the dictionary event '{}'; no incident is linked to what was found."
+NO_INCIDENT = "None of the entries found belongs to an incident."
+#: The text a front end offers when nothing has been typed yet.
+DEFAULT_QUERY = "engine fire during takeoff"
 METHOD = "similarity-weighted causes of the most similar entries"
 NEEDED = ("incident_events", "findings", "narratives", "embeddings_map", "entry_vectors")
 
 
 @dataclass
 class Call:
+    """A tool call of the model; ``id`` pairs it with its answer."""
+
     name: str
     arguments: str
+    id: str = ""
 
 
 #: A chat service: messages and tools in, text and tool calls out.
@@ -67,6 +76,11 @@ class KnowledgeBase:
         self._need()
         return retrieval.scored(self._t("entry_vectors"), {0: self.vector(text)})
 
+    def best(self, text: str) -> DataFrame:
+        """Scores of the entries that can be among the first."""
+        self._need()
+        return retrieval.top_scored(self._t("entry_vectors"), {0: self.vector(text)}, self.top)
+
     def entries(self) -> DataFrame:
         return entries.mapped_entries(self._t("embeddings_map"))
 
@@ -75,10 +89,10 @@ class KnowledgeBase:
         return retrieval.evidence(ranked, *[self._t(t) for t in ("findings", "narratives", "incident_events")])
 
 
-def diagnose_root_causes(kb: KnowledgeBase, query: str, top_n: int = 10) -> dict:
-    """Most probable causes for a text: top_causes, all_causes, diagnosis_metadata. At most the causes of the top entries are collected."""
-    top = retrieval.top_entries(kb.scores(query), kb.top)
-    pairs = kb.pairs(top)
+def diagnose_root_causes(kb: KnowledgeBase, query: str, top_n: int = 10, scores: DataFrame | None = None) -> dict:
+    """Most probable causes for a text: top_causes, all_causes, diagnosis_metadata. At most the causes of the top entries are collected. ``scores`` may be given if they are known."""
+    top = retrieval.top_entries(kb.best(query) if scores is None else scores, kb.top)
+    pairs = stage(kb.pairs(top), "evidence")
     rows = retrieval.weighted_diagnosis(pairs).orderBy(F.desc("probability"), "first_rank", "cause").collect()
     every = [{"cause": r.cause, "probability": r.probability, "raw_score": r.raw_score, "num_incidents": r.num_incidents, "supporting_incidents": list(r.supporting)} for r in rows]
     used = pairs.select("entry_id").distinct().count()
@@ -86,24 +100,22 @@ def diagnose_root_causes(kb: KnowledgeBase, query: str, top_n: int = 10) -> dict
 
 
 def diagnose_incident(kb: KnowledgeBase, query: str) -> tuple[DataFrame | None, DataFrame | str, dict | None]:
-    """(best score per incident, their details, diagnosis), or (None, message, None) if nothing of an incident is similar."""
-    scores, e = kb.scores(query), kb.entries()
-    if scores.isEmpty():
-        return None, "Could not find any relevant matches in the knowledge base.", None
-    best = retrieval.best_per_incident(scores, e)
+    """(best score per incident, their details, diagnosis), or (None, message, None) if nothing of an incident is similar. The text is embedded and the vectors are scanned once."""
+    scores, e = stage(kb.scores(query), "scores"), kb.entries()
+    best = stage(retrieval.best_per_incident(scores, e), "best_per_incident")
     if best.isEmpty():
-        first = retrieval.top_entries(scores, 1).join(e, "entry_id").first()
-        if first and first.source == "dictionary":
-            return None, f"Your query is conceptually similar to the dictionary event: '{first.text}'. However, no specific historical incidents were found.", None
-        return None, "Could not find any incidents related to the query.", None
+        first = retrieval.top_entries(scores, 1).join(e, "entry_id", "left").first()
+        if first is None:
+            return None, NOTHING_SIMILAR, None
+        return None, DICTIONARY_ONLY.format(first.text) if first.source == "dictionary" else NO_INCIDENT, None
     from mishaplens.operators.incidents import EVENT_COLUMNS, NARRATIVE_COLUMNS, first_rows
 
     records = first_rows(kb._t("incident_events"), EVENT_COLUMNS).join(first_rows(kb._t("narratives"), NARRATIVE_COLUMNS), "ev_id", "left")
-    return best, best.join(records, "ev_id"), diagnose_root_causes(kb, query)
+    return best, best.join(records, "ev_id"), diagnose_root_causes(kb, query, scores=scores)
 
 
-def run_agent(kb: KnowledgeBase, chat: Chat, user_query: str) -> dict:
-    """A report from the user's words, the tool call the model chooses, and a summary of its result."""
+def run_agent(kb: KnowledgeBase, chat: Chat, user_query: str = DEFAULT_QUERY) -> dict:
+    """A report from the user's words, the tool call the model chooses, and a summary of its result. An empty text is refused."""
     if not user_query:
         raise ValueError("a query is needed")
     registry = {"diagnose_root_causes": diagnose_root_causes}
@@ -112,12 +124,14 @@ def run_agent(kb: KnowledgeBase, chat: Chat, user_query: str) -> dict:
     said, calls = chat(messages, [TOOL])
     if not calls:
         return {"generated_report": report, "tool_results": None, "final_summary": NO_TOOL}
-    messages.append({"role": "assistant", "content": said, "tool_calls": [c.__dict__ for c in calls]})
+    for i, c in enumerate(calls):
+        c.id = c.id or f"call_{i}"
+    messages.append({"role": "assistant", "content": said, "tool_calls": [{"id": c.id, "type": "function", "function": {"name": c.name, "arguments": c.arguments}} for c in calls]})
     results = None
     for c in calls:
         args = json.loads(c.arguments)
         results = registry[c.name](kb, args["query"], args.get("top_n", 10))  # an unknown name is an error
-        messages.append({"role": "tool", "name": c.name, "content": json.dumps(results)})
+        messages.append({"role": "tool", "tool_call_id": c.id, "name": c.name, "content": json.dumps(results)})
     summary, _ = chat(messages, None)
     return {"generated_report": report, "tool_results": results, "final_summary": summary}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mishaplens.functions.text import clean_narrative
+from mishaplens.operators.groups import first_per_key
 from mishaplens.operators.incidents import FINDING_COLUMNS, NARRATIVE_COLUMNS, child_rows, first_rows
 
 
@@ -43,9 +44,10 @@ def all_entries(incident: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def mapped_entries(embeddings_map: DataFrame) -> DataFrame:
-    """The entry table: one row per entry_id, with the incident's key."""
+    """The entry table: one whole row per entry_id, the least by its columns with nulls last, with the incident's key."""
     m = embeddings_map.withColumn("ev_id", F.nullif(F.upper(F.trim("ev_id")), F.lit(""))).filter(F.col("entry_id").isNotNull())
-    return m.groupBy("entry_id").agg(*[F.min(c).alias(c) for c in m.columns if c != "entry_id"])
+    columns = [c for c in m.columns if c != "entry_id"]
+    return first_per_key(m, "entry_id", sorted(columns, key=lambda c: (c != "source", c != "ev_id")), columns)
 
 
 def known_and_skipped(entries: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mishaplens.functions.text import iso, key, nan_text_to_null
-from mishaplens.operators.groups import CHUNK, array_of, first_per_key, grouped_records
+from mishaplens.operators.groups import CHUNK, array_of, first_per_key, grouped_records, large_keys
+from mishaplens.operators.skew import split_join
 from mishaplens.sources.tables import select_or_null, select_where
 
 # The columns kept of each table.
@@ -45,8 +46,8 @@ def incident_records(
 ) -> DataFrame:
     """One record per incident: scalar fields of event, narrative and first aircraft, and four arrays that may be empty but never null.
 
-    Missing texts of UNKNOWN_TEXT read 'Unknown'. Six left joins on the key,
-    1:1 on the scalar sides. An incident with more than ``chunk`` rows in a
+    Missing texts of UNKNOWN_TEXT read 'Unknown'. Left joins on the key for the
+    scalar sides, 1:1; the arrays are united and joined once. An incident with more than ``chunk`` rows in a
     child table continues in further parts, rows with the same ev_id and the
     next part_no, so that no record is unbounded; part 0 always exists.
     """
@@ -59,18 +60,24 @@ def incident_records(
     }
     if injuries is not None:
         arrays["injuries"] = (child_rows(injuries, INJURY_COLUMNS), [])
-    grouped = {k: grouped_records(df, "ev_id", order, k, chunk) for k, (df, order) in arrays.items()}
-    parts = base.select("ev_id", F.lit(0).alias("part_no"))
-    for g in grouped.values():
-        parts = parts.unionByName(g.filter("part_no > 0").select("ev_id", "part_no").join(base.select("ev_id"), "ev_id", "left_semi"))
-    out = parts.distinct().join(base, "ev_id")
-    for k, g in grouped.items():
-        kind = g.schema[k].dataType.simpleString()
-        out = out.join(g, ["ev_id", "part_no"], "left").withColumn(k, array_of(F.col(k), kind))
+    large = {k: large_keys(df, "ev_id") for k, (df, _) in arrays.items()}
+    groups = {k: grouped_records(df, "ev_id", order, k, chunk, large[k]) for k, (df, order) in arrays.items()}
+    kinds = {k: g.schema[k].dataType.simpleString() for k, g in groups.items()}
+    rows = base.select("ev_id", F.lit(0).alias("part_no"))
+    for g in groups.values():
+        rows = rows.unionByName(g, allowMissingColumns=True)
+    parts = rows.groupBy("ev_id", "part_no").agg(*[F.first(k, ignorenulls=True).alias(k) for k in groups])
+    hot = sorted({k for v in large.values() for k in v})
+    if hot:  # one key may have a third of all parts
+        out = split_join(parts, base, ["ev_id"], parts.sparkSession.createDataFrame([(k,) for k in hot], "ev_id string"))
+    else:
+        out = parts.join(base, "ev_id")
+    for k, kind in kinds.items():
+        out = out.withColumn(k, array_of(F.col(k), kind))
     if injuries is None:
         kind = "array<struct<" + ",".join(f"{c}:{t}" for c, t in INJURY_COLUMNS.items()) + ">>"
         out = out.withColumn("injuries", F.array().cast(kind))
-    return out
+    return out.select("ev_id", "part_no", *[c for c in base.columns if c != "ev_id"], *arrays, *(["injuries"] if injuries is None else []))
 
 
 def json_ready(df: DataFrame) -> DataFrame:

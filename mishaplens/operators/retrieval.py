@@ -29,6 +29,29 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return usable_rows(vectors, dim).groupBy("entry_id").agg(F.min("embedding").alias("embedding"))
 
 
+def _unit_queries(queries: dict[int, list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(queries) > MAX_QUERIES:
+        raise ValueError("too many query vectors for one batch")
+    ids = np.array(sorted(queries), "int64")
+    q = np.array([queries[i] for i in ids.tolist()], "f8").reshape(len(ids), -1 if len(ids) else 1)
+    norms = np.sqrt((q * q).sum(1, keepdims=True))
+    return ids, np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
+
+
+def _unit_rows(batch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the usable rows of an Arrow batch (entry_id, embedding)."""
+    import pyarrow.compute as pc
+
+    full = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dim), False), pc.is_valid(batch.column(0)))
+    b = batch.filter(full)
+    if not b.num_rows:
+        return np.zeros(0, "int64"), np.zeros((0, dim))
+    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype("f8")
+    n = np.sqrt((x * x).sum(1))
+    good = np.isfinite(x).all(1) & (n > 0)
+    return b.column(0).to_numpy(zero_copy_only=False)[good], x[good] / n[good, None]
+
+
 def scored(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
     """(query_id, entry_id, score): cosine of every usable vector with every query vector, in double.
 
@@ -38,28 +61,13 @@ def scored(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
     vectors get equal scores, as every row is summed in the same order. A
     query vector of zeros scores 0.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError("too many query vectors for one batch")
-    ids = np.array(sorted(queries), "int64")
-    q = np.array([queries[i] for i in ids.tolist()], "f8").reshape(len(ids), -1 if len(ids) else 1)
-    norms = np.sqrt((q * q).sum(1, keepdims=True))
-    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
+    ids, q = _unit_queries(queries)
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        dim = q.shape[1]
         for b in batches:
-            full = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False), pc.is_valid(b.column(0)))
-            b = b.filter(full)
-            if not b.num_rows or not len(ids):
-                continue
-            entry = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype("f8")
-            n = np.sqrt((x * x).sum(1))
-            good = np.isfinite(x).all(1) & (n > 0)
-            entry, x = entry[good], x[good] / n[good, None]
+            entry, x = _unit_rows(b, q.shape[1])
             step = max(1, SCORE_CELLS // max(1, len(entry)))
             for lo in range(0, len(ids) if len(entry) else 0, step):
                 s = np.stack([(x * v).sum(1) for v in q[lo : lo + step]])
@@ -71,6 +79,39 @@ def scored(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
     return rows.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
 
 
+def top_scored(vectors: DataFrame, queries: dict[int, list[float]], k: int = 50) -> DataFrame:
+    """The rows of ``scored`` that can be among the first ``k`` of a query (ties: larger id): each task keeps its best ``k`` distinct entries.
+
+    What is shuffled is bounded by queries x k x tasks instead of queries x
+    entries. No entry is lost: one of the first k of all is one of the first
+    k in the task that has its best row.
+    """
+    ids, q = _unit_queries(queries)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept = [(np.zeros(0, "int64"), np.zeros(0)) for _ in ids]
+        for b in batches:
+            entry, x = _unit_rows(b, q.shape[1])
+            for i, v in enumerate(q if len(entry) else ()):
+                s = (x * v).sum(1)
+                e0, s0 = kept[i]
+                at = np.flatnonzero(s >= s0[-1]) if len(s0) == k else np.arange(len(s))
+                e, s = np.r_[e0, entry[at]], np.r_[s0, s[at]]
+                order = np.lexsort((-e, -s))
+                e, s = e[order], s[order]
+                _, first = np.unique(e, return_index=True)  # the best row of each entry
+                first = np.sort(first)[:k]
+                kept[i] = e[first], s[first]
+        n = [len(e) for e, _ in kept]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([e for e, _ in kept])), pa.array(np.concatenate([s for _, s in kept]))], names=["query_id", "entry_id", "score"])
+
+    rows = vectors.select("entry_id", "embedding").mapInArrow(run, "query_id bigint, entry_id bigint, score double")
+    return rows.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
+
+
 def top_entries(scores: DataFrame, k: int = 50) -> DataFrame:
     """The first ``k`` entries of one query with their rank from 1; ties go to the larger id. No full sort."""
     best = scores.orderBy(F.desc("score"), F.desc("entry_id")).limit(k)

@@ -151,19 +151,22 @@ def _vectors(s, d):
 
 def _query_vectors(s, d, n):
     """The vectors of the first entries stand in for embedded query texts."""
-    first = retrieval.usable_rows(table(s, d, "entry_vectors"), DIM).orderBy("entry_id", "embedding").limit(20 * n).collect()
-    found = {}
-    for r in first:
-        found.setdefault(r.entry_id, list(r.embedding))
-    return dict(enumerate(list(found.values())[:n]))
+    rows = retrieval.usable_rows(table(s, d, "entry_vectors"), DIM)
+    ids = [r.entry_id for r in rows.groupBy("entry_id").agg(F.count("*").alias("n")).orderBy("entry_id").limit(n).collect()]
+    found = retrieval.usable(rows.filter(F.col("entry_id").isin(ids)), DIM).collect()
+    return dict(enumerate(list(r.embedding) for r in sorted(found, key=lambda r: r.entry_id)))
 
 
 def _scores(s, d, n=1):
     return retrieval.scored(table(s, d, "entry_vectors"), _query_vectors(s, d, n))
 
 
+def _best(s, d, n=1):
+    return retrieval.top_scored(table(s, d, "entry_vectors"), _query_vectors(s, d, n), TOP)
+
+
 def _top(s, d):
-    return retrieval.top_entries(_scores(s, d), TOP)
+    return retrieval.top_entries(_best(s, d), TOP)
 
 
 def _pairs(s, d, top=None):
@@ -393,7 +396,7 @@ def diagnosis_metadata(s: SparkSession, d: str) -> DataFrame:
 
 @query(_with("dg", f"SELECT query_id, {_SHOW} FROM dg"))
 def batch_diagnosis(s: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(s, d, retrieval.top_per_query(_scores(s, d, 5), TOP))
+    pairs = _pairs(s, d, retrieval.top_per_query(_best(s, d, 5), TOP))
     diag = retrieval.weighted_diagnosis(pairs, ["query_id"])
     return diag.select("query_id", "cause", *_r("raw_score", "probability"), "num_incidents", F.array_join("supporting", ", ").alias("supporting"), "first_rank")
 
