@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Texts per request, tries and the pause between them.
 BATCH, TRIES, PAUSE = 100, 3, 5.0
 
+#: Vectors after which what has been embedded is written.
+CHECKPOINT = 100_000
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -62,14 +65,16 @@ def embedded(entries: DataFrame, make: Callable[[], Embedder], batch: int = BATC
     return rows.mapInPandas(run, "entry_id bigint, embedding array<float>")
 
 
-def embed_missing(spark: SparkSession, entries: DataFrame, path: str, make: Callable[[], Embedder], chunks: int = 1, **options) -> int:
-    """Embed what ``path`` lacks and append it, chunk by chunk; an interrupted run loses at most the chunk it was in, and none is embedded twice.
+def embed_missing(spark: SparkSession, entries: DataFrame, path: str, make: Callable[[], Embedder], chunks: int | None = None, every: int = CHECKPOINT, **options) -> int:
+    """Embed what ``path`` lacks and append it, chunk by chunk, each of about ``every`` vectors unless ``chunks`` is given; an interrupted run loses at most the chunk it was in, and none is embedded twice.
 
     Rows are keyed, so vectors and texts cannot shift against each other.
     """
     from pyspark.errors import AnalysisException
     from pyspark.sql import functions as F
 
+    if chunks is None:
+        chunks = max(1, -(-entries.count() // every))
     for k in range(chunks):
         part = entries.filter(F.pmod(F.xxhash64("entry_id"), F.lit(chunks)) == k) if chunks > 1 else entries
         try:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,19 +37,118 @@ def delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = Tru
     return df.toDF(*names) if names else df
 
 
-def excel(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A workbook's first sheet. Needs a pandas Excel engine on the driver; Parquet is the normal way in."""
-    import pandas as pd
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files at ``path``: itself, or those in it if it is a folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = [f.getPath().toString() for f in at.getFileSystem(conf).listStatus(at) if f.isFile()]
+    return sorted(f for f in found if not f.rsplit("/", 1)[1].startswith(("_", ".")))
 
-    frame = pd.read_excel(path).reindex(columns=schema.fieldNames())
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema)
+
+def _opened(path: str):
+    """A seekable file on whatever file system ``path`` names, for use in a task."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return system.open_input_file(at)
+
+
+def _per_file(spark: SparkSession, files: list[tuple], names: str, run, schema: str | T.StructType) -> DataFrame:
+    """``run`` over descriptions of parts of files, one task each."""
+    rows = spark.createDataFrame(files, names).repartition(max(1, len(files)))
+    return rows.mapInPandas(run, schema)
+
+
+def excel(spark: SparkSession, path: str, schema: T.StructType, sheet: str | None = None) -> DataFrame:
+    """The named sheet of a workbook, else all its sheets one after the other, with the columns of ``schema`` by their header; columns that are missing, and cells of another type, are null.
+
+    Each sheet is read by a task of its own, row by row, so that no workbook
+    is held in memory; dates are numbers of days as the file has them.
+    """
+    from mishaplens.sources import xlsx
+
+    files = [(f, s) for f in _files(spark, path) for s in xlsx.sheets(_opened(f)) if sheet in (None, s)]
+    names = schema.fieldNames()
+
+    def rows(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for file, s in zip(frame["file"], frame["sheet"]):
+                held = []
+                for record in xlsx.records(_opened(file), s):
+                    held.append([record.get(c) for c in names])
+                    if len(held) == 5000:
+                        yield pd.DataFrame(held, columns=names, dtype=object)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=names, dtype=object)
+
+    text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = _per_file(spark, files, "file string, sheet string", rows, text)
+    return raw.select([F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in schema])
+
+
+def _members(file, size: int = 1 << 20):
+    """(key, value as text) of a JSON object, read piece by piece: what is held is one member and a piece."""
+    decode, take = codecs.getincrementaldecoder("utf-8")().decode, json.JSONDecoder().raw_decode
+    text, ended = "", False
+
+    def more():
+        nonlocal text, ended
+        raw = file.read(size)
+        ended = not raw
+        text += decode(raw, ended)
+
+    def skip(signs):
+        """Drop these signs from the front, reading on until something else comes."""
+        nonlocal text
+        text = text.lstrip(signs)
+        while not text and not ended:
+            more()
+            text = text.lstrip(signs)
+
+    def value():
+        """The value at the front and its text, which is dropped. It is complete if a sign follows that ends it, as a number may go on."""
+        nonlocal text
+        while True:
+            try:
+                got, end = take(text)
+                if ended or text[end : end + 1] in (" ", "\t", "\r", "\n", ",", ":", "}"):
+                    raw, text = text[:end], text[end:]
+                    return got, raw
+            except ValueError:
+                if ended:
+                    raise
+            more()
+
+    skip(" \t\r\n{")
+    while text and text[0] != "}":
+        key, _ = value()
+        skip(" \t\r\n:")
+        yield key, value()[1]
+        skip(" \t\r\n,")
 
 
 def keyed_json(spark: SparkSession, path: str, value_schema: T.StructType, key: str = "ev_id") -> DataFrame:
-    """A JSON object that maps ids to documents, as one row per id."""
-    raw = spark.read.text(path, wholetext=True)
-    docs = F.from_json("value", T.MapType(T.StringType(), value_schema))
-    return raw.select(F.explode(docs).alias(key, "_doc")).select(key, "_doc.*")
+    """JSON objects that map ids to documents, as one row per id. Each file is read by one task, piece by piece, so it may be larger than a cell."""
+
+    def rows(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for file in frame["file"]:
+                held = []
+                for member in _members(_opened(file)):
+                    held.append(member)
+                    if len(held) == 1000:
+                        yield pd.DataFrame(held, columns=[key, "_doc"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=[key, "_doc"])
+
+    raw = _per_file(spark, [(f,) for f in _files(spark, path)], "file string", rows, f"`{key}` string, _doc string")
+    return raw.select(key, F.from_json("_doc", value_schema).alias("_doc")).select(key, "_doc.*")
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -55,24 +156,33 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (r.schema(schema) if schema else r).json(path)
 
 
-def npy_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """A saved two-dimensional array as (entry_id, embedding); the row position is the id."""
+def npy_matrix(spark: SparkSession, path: str, block_bytes: int = 64 << 20) -> DataFrame:
+    """A saved two-dimensional array as (entry_id, embedding); the row position is the id. Ranges of rows are read by tasks of their own."""
+    import numpy as np
 
-    def rows(batches):
-        import io
+    with _opened(_files(spark, path)[0]) as f:
+        major = np.lib.format.read_magic(f)[0]
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
+        start = f.tell()
+    if fortran or len(shape) != 2 or kind.hasobject:
+        raise ValueError("a two-dimensional array in row order is needed")
+    row = shape[1] * kind.itemsize
+    step, descr = max(1, block_bytes // max(1, row)), kind.str
+    parts = [(_files(spark, path)[0], lo, min(step, shape[0] - lo)) for lo in range(0, shape[0], step)]
 
-        import numpy as np
+    def rows(frames):
         import pandas as pd
 
-        for b in batches:
-            for content in b["content"]:
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                for lo in range(0, len(m), 1000):
-                    part = m[lo : lo + 1000].astype("float32")
-                    yield pd.DataFrame({"entry_id": range(lo, lo + len(part)), "embedding": list(part)})
+        for frame in frames:
+            for file, lo, n in zip(frame["file"], frame["first"], frame["n"]):
+                with _opened(file) as f:
+                    for at in range(lo, lo + n, 1000):
+                        take = min(1000, lo + n - at)
+                        f.seek(start + at * row)
+                        m = np.frombuffer(f.read(take * row), descr).reshape(take, -1).astype("float32")
+                        yield pd.DataFrame({"entry_id": range(at, at + take), "embedding": list(m)})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(rows, "entry_id bigint, embedding array<float>")
+    return _per_file(spark, parts, "file string, first bigint, n bigint", rows, "entry_id bigint, embedding array<float>")
 
 
 def setting(name: str, default: str | None = None) -> str:
@@ -81,11 +191,3 @@ def setting(name: str, default: str | None = None) -> str:
     if not found:
         raise RuntimeError(f"setting {name} is needed")
     return found
-
-
-def filled(df: DataFrame, value: str, columns: list[str]) -> DataFrame:
-    return df.na.fill(value, columns)
-
-
-def empty_if_null(c: Column, kind: str) -> Column:
-    return F.coalesce(c, F.array().cast(kind))

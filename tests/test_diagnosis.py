@@ -112,6 +112,8 @@ def test_sources(spark, tmp_path):
 
     np.save(tmp_path / "m.npy", np.arange(6.0).reshape(3, 2))
     assert [r.embedding for r in tables.npy_matrix(spark, str(tmp_path / "m.npy")).orderBy("entry_id").collect()][2] == [4.0, 5.0]
+    blocks = tables.npy_matrix(spark, str(tmp_path / "m.npy"), block_bytes=20)
+    assert [(r.entry_id, r.embedding) for r in blocks.orderBy("entry_id").collect()] == [(i, [2.0 * i, 2.0 * i + 1]) for i in range(3)]
     assert tables.missing_inputs(spark, [str(tmp_path / "m.npy"), str(tmp_path / "no")]) == [str(tmp_path / "no")]
     with pytest.raises(RuntimeError):
         tables.setting("MISHAPLENS_NO_SUCH_SETTING")
@@ -200,3 +202,89 @@ def test_windowed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.n) for r in spark.sql("select * from windowed").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_keyed_json_piece_by_piece(tmp_path):
+    docs = {"": None, "é": {"a": [1, 2, {"b": "} , : {"}]}, "long": {"t": "x" * 500}, "n": 12345678, "m": -1.5e3, "t": True, "s": "last"}
+    for indent in (None, 4):
+        (tmp_path / "d.json").write_text(json.dumps(docs, indent=indent, ensure_ascii=False))
+        for size in (1, 7, 1 << 20):
+            with open(tmp_path / "d.json", "rb") as f:
+                assert {k: json.loads(v) for k, v in tables._members(f, size)} == docs
+    (tmp_path / "e.json").write_text(" { } ")
+    with open(tmp_path / "e.json", "rb") as f:
+        assert list(tables._members(f)) == []
+
+
+def workbook(path, sheets):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>ev_id</t></si><si><r><t>spl</t></r><r><t>it</t></r></si></sst>")
+        for i, cells in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>")
+
+
+def test_excel(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>total_seats</t></is></c></row>'
+    workbook(tmp_path / "b.xlsx", {"one": head + '<row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>4</v></c></row><row r="3"><c r="C3"><v>x</v></c></row><row r="4"/>', "two": head + '<row><c><v>B</v></c></row>', "none": ""})
+    schema = T.StructType([T.StructField("ev_id", T.StringType()), T.StructField("total_seats", T.IntegerType()), T.StructField("lacking", T.DoubleType())])
+    got = sorted((tuple(r) for r in tables.excel(spark, str(tmp_path / "b.xlsx"), schema).collect()), key=str)
+    assert got == [("B", None, None), ("split", 4, None), (None, None, None)]
+    assert tables.excel(spark, str(tmp_path / "b.xlsx"), schema, "two").count() == 1
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from mishaplens import session
+
+    class Context:
+        def __init__(self, master, conf):
+            self.master, self.getConf = master, lambda: conf
+
+    class Session:
+        def __init__(self, *context):
+            self.sparkContext = Context(*context)
+
+    for master in ("spark://somewhere:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session(master, {}))
+        assert session.shared_dir(Session(master, {"spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
+    for master in ("local", "local[*]", "local[4]"):
+        assert session.shared_dir(Session(master, {})).startswith("file://")
+    with session.scratch(spark):
+        t = session.stage(spark.range(3), "t")
+        path = t.inputFiles()[0].removeprefix("file://")
+        assert t.count() == 3
+    import os
+
+    assert not os.path.exists(path)
+    assert session.get_session(cores="1").sparkContext.master == spark.sparkContext.master
+
+
+def test_best_entries_are_kept_in_the_scan(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i % 60, [float(rnd.randint(-3, 3)), float(rnd.randint(-3, 3)), 1.0]) for i in range(400)] + [(None, [1.0, 1.0, 1.0]), (7, None)]
+    v = spark.createDataFrame(rows, "entry_id long, embedding array<float>").repartition(5)
+    q = {0: [1.0, 0.0, 0.0], 3: [1.0, 1.0, 1.0], 5: [0.0, 0.0, 0.0]}
+    for k in (1, 7, 100):
+        want = {tuple(r) for r in retrieval.top_per_query(retrieval.scored(v, q), k).collect()}
+        assert {tuple(r) for r in retrieval.top_per_query(retrieval.top_scored(v, q, k), k).collect()} == want
+    assert retrieval.top_scored(v.limit(0), q).count() == 0 and retrieval.top_scored(v, {}).count() == 0
+
+
+def test_large_keys(spark, monkeypatch):
+    from mishaplens.operators import groups
+
+    ev, na, ac, sq, fi, en = fixture(spark)
+    many = spark.range(300).selectExpr("if(id % 3 = 0, 'B', 'A') ev_id", "cast(id as int) finding_no", "cast(id as string) finding_description", "'C' cause_factor")
+    plain = sorted(map(str, incidents.incident_records(ev, na, ac, sq, many, en, chunk=7).collect()))
+    monkeypatch.setattr(groups, "LARGE", 150)
+    assert groups.large_keys(many, "ev_id") == ["A"]
+    assert sorted(map(str, incidents.incident_records(ev, na, ac, sq, many, en, chunk=7).collect())) == plain

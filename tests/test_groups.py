@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from mishaplens.operators import chains, groups
 
 
@@ -7,7 +9,9 @@ def order(r):
     return (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "")
 
 
-def test_positions_parts_and_next(spark):
+@pytest.mark.parametrize("large", [groups.LARGE, 100])
+def test_positions_parts_and_next(spark, monkeypatch, large):
+    monkeypatch.setattr(groups, "LARGE", large)
     rnd = random.Random(7)
     rows = list({("hot" if i % 3 == 0 else f"k{rnd.randint(0, 30)}", rnd.choice([None, *range(20)]), rnd.choice([None, *"abcdefghij"]) or None) for i in range(3000)}) + [(None, 1, "a")]
     df = spark.createDataFrame(rows, "k string, o int, v string")
