@@ -55,18 +55,18 @@ def api_key(name: str = "CHAT_API_KEY") -> str:
 
 
 class KnowledgeBase:
-    """Tables of one folder, opened lazily; what is missing is named when a query first needs it."""
+    """Tables of one folder, opened lazily; what is missing is named when a query first needs it. ``tables`` stand in for those of the folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, embed: Callable[[str], list[float]], dim: int = 64, top: int = 50) -> None:
-        self.spark, self.folder, self.embed, self.dim, self.top = spark, folder, embed, dim, top
+    def __init__(self, spark: SparkSession, folder: str, embed: Callable[[str], list[float]], dim: int = 64, top: int = 50, tables: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.folder, self.embed, self.dim, self.top, self.tables = spark, folder, embed, dim, top, tables or {}
 
     def _need(self) -> None:
-        missing = missing_inputs(self.spark, [f"{self.folder}/{t}.parquet" for t in NEEDED])
+        missing = missing_inputs(self.spark, [f"{self.folder}/{t}.parquet" for t in NEEDED if t not in self.tables])
         if missing:
             raise RuntimeError("knowledge base not loaded; missing: " + ", ".join(missing))
 
     def _t(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        return self.tables[name] if name in self.tables else table(self.spark, self.folder, name)
 
     def vector(self, text: str) -> list[float]:
         clean = self.spark.createDataFrame([(text,)], "t string").select(one_line(F.col("t"))).first()[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mishaplens.functions.text import CAUSE_INDICATORS, causes_from_narrative, strip, truthy
+from mishaplens.operators.groups import CHUNK, grouped_records
 from mishaplens.operators.incidents import FINDING_COLUMNS, child_rows, first_rows
 
 
@@ -46,6 +47,16 @@ def incident_causes(occurrences: DataFrame) -> DataFrame:
     return occurrences.filter(truthy(F.col("cause"))).select("ev_id", "cause").distinct()
 
 
+def finding_arrays(findings: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Per incident and part of up to ``chunk`` findings, in their order: findings, cause_factors and causal_findings as arrays. Entries find theirs by incident."""
+    g = grouped_records(child_rows(findings, FINDING_COLUMNS), "ev_id", ["finding_no"], "f", chunk)
+    causal = F.filter("f", lambda x: strip(x["cause_factor"]) == "C")
+    return g.select(
+        "ev_id", "part_no", F.transform("f", lambda x: x["finding_description"]).alias("findings"), F.transform("f", lambda x: x["cause_factor"]).alias("cause_factors"),
+        F.transform(causal, lambda x: x["finding_description"]).alias("causal_findings"),
+    )
+
+
 def coverage(events: DataFrame, occurrences: DataFrame) -> DataFrame:
     """How many of the incidents (ev_id) have structured causes only, narrative ones only, both, or any; with percentages."""
     flags = occurrences.groupBy("ev_id").agg(F.bool_or(F.col("kind") == "structured").alias("s"), F.bool_or(F.col("kind") == "narrative").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mishaplens.operators.groups import grouped_records, with_next
-from mishaplens.operators.incidents import child_rows
+from mishaplens.operators.incidents import child_rows, keyed
 
 CHAIN = {"occurrence_no": "int", "occurrence_code": "string", "occurrence_description": "string", "phase_no": "string", "defining_ev": "int"}
 NO_CHAINS = "No causal chains found to build a chart."
@@ -70,6 +70,21 @@ def transitions(sequences: DataFrame) -> DataFrame:
     return counts.withColumn("p", share).filter("has_next").select("event", "next_event", "n", "p")
 
 
+def event_totals(sequences: DataFrame) -> DataFrame:
+    """One row: events, distinct ones, incidents that have any, and events that another follows."""
+    rows = chain_rows(sequences).agg(F.count("*").alias("n_events"), F.countDistinct("occurrence_description").alias("n_distinct"), F.countDistinct("ev_id").alias("n_incidents"))
+    followed = chain_edges(sequences).agg(F.countDistinct("event").alias("n_followed"))
+    return rows.join(F.broadcast(followed))
+
+
+def chains_of_causes(diagnosis: DataFrame, sequences: DataFrame, n_causes: int = 10) -> DataFrame:
+    """The first causes of a diagnosis with the chains of their first five supporting incidents, each once: cause, ev_id, part_no, n_events, strip."""
+    top = diagnosis.orderBy(F.desc("probability"), "first_rank", "cause").limit(n_causes)
+    wanted = F.broadcast(top.select("cause", F.explode(F.array_distinct("supporting")).alias("ev_id")))
+    rows = keyed(sequences)
+    return flow_strips(rows.join(wanted.select("ev_id").distinct(), "ev_id", "left_semi")).join(wanted, "ev_id").select("cause", "ev_id", "part_no", "n_events", "strip")
+
+
 def top_followers(trans: DataFrame, frequency: DataFrame, n_events: int = 3, n_followers: int = 5) -> DataFrame:
     """The most frequent followers of the most frequent events; ties by name."""
     top = frequency.filter(F.col("event").isNotNull()).orderBy(F.desc("n"), "event").limit(n_events).select("event")

@@ -242,6 +242,17 @@ def incident_documents(s: SparkSession, d: str) -> DataFrame:
     return incidents.as_json(incidents.json_ready(_records(s, d)))
 
 
+@query(_with("ev na fi", """SELECT ev_id, ev_city, strftime(ev_date, '%Y-%m-%dT%H:%M:%S') AS ev_date, narr_cause, least(1000, count(fi.ev_id)) AS n_findings FROM ev LEFT JOIN na USING (ev_id) LEFT JOIN fi USING (ev_id) GROUP BY 1, 2, 3, 4"""))
+def document_fields(s: SparkSession, d: str) -> DataFrame:
+    doc = incident_documents(s, d).select("ev_id", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("ev_city", "ev_date", "narr_cause", "part_no")], F.json_array_length(F.get_json_object("json", "$.findings")).cast("bigint").alias("n_findings"))
+    return doc.filter("part_no = '0'").drop("part_no")
+
+
+@query(_with("ev na", "SELECT ev_id, ev_city, narr_cause FROM ev LEFT JOIN na USING (ev_id) ORDER BY ev_id LIMIT 3"))
+def first_samples(s: SparkSession, d: str) -> DataFrame:
+    return _events(s, d).join(_narratives(s, d), "ev_id", "left").orderBy("ev_id").limit(3).select("ev_id", "ev_city", "narr_cause")
+
+
 # ----------------------------------------------------------------- entries
 
 
@@ -289,6 +300,14 @@ def skip_counts(s: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ causes
 
 
+@query(_with("fi", f"""SELECT ev_id, (position // 1000)::INT AS part_no, count(*)::INT AS n_findings, string_agg(coalesce(finding_description, '-'), ' | ' ORDER BY position) AS findings,
+  string_agg(coalesce(cause_factor, '-'), ' | ' ORDER BY position) AS cause_factors, coalesce(string_agg(coalesce(finding_description, '-'), ' | ' ORDER BY position) FILTER (WHERE {_strip_sql('cause_factor')} = 'C'), '') AS causal_findings FROM (
+  SELECT *, row_number() OVER (PARTITION BY ev_id ORDER BY finding_no NULLS LAST, finding_description NULLS FIRST, cause_factor NULLS FIRST) - 1 AS position FROM fi) GROUP BY 1, 2"""))
+def finding_arrays(s: SparkSession, d: str) -> DataFrame:
+    joined = [F.array_join(c, " | ", "-").alias(c) for c in ("findings", "cause_factors", "causal_findings")]
+    return causes.finding_arrays(table(s, d, "findings")).select("ev_id", "part_no", F.size("findings").alias("n_findings"), *joined)
+
+
 @query(_with("fi", f"""SELECT finding_description AS cause, count(*) AS n_all, count(*) FILTER (WHERE {_strip_sql('cause_factor')} = 'C') AS n_causal FROM fi GROUP BY 1"""))
 def cause_counts_structured(s: SparkSession, d: str) -> DataFrame:
     f = _findings(s, d).withColumn("causal", F.coalesce(T.strip(F.col("cause_factor")) == "C", F.lit(False)))
@@ -429,6 +448,13 @@ def causal_chains(s: SparkSession, d: str) -> DataFrame:
     return chains.flow_strips(seq).select("ev_id", F.col("n_events").cast("bigint").alias("n_events"), "strip")
 
 
+@query(_with("dg pos", """, top AS (SELECT cause, supporting FROM dg WHERE query_id = 0 ORDER BY probability DESC, first_rank, cause LIMIT 10),
+x AS (SELECT DISTINCT cause, unnest(string_split(supporting, ', ')) AS ev_id FROM top)
+SELECT cause, ev_id, (position // 1000)::INT AS part_no, count(*)::INT AS n_events, string_agg(coalesce(occurrence_description, 'Unknown'), ' → ' ORDER BY position) AS strip FROM x JOIN pos USING (ev_id) GROUP BY 1, 2, 3""").replace("\n, top AS", ",\ntop AS"))
+def cause_chains(s: SparkSession, d: str) -> DataFrame:
+    return chains.chains_of_causes(retrieval.weighted_diagnosis(_pairs(s, d)), table(s, d, "events_sequence"))
+
+
 # ------------------------------------------------------------------ chains
 
 
@@ -451,6 +477,11 @@ def flow_strip(s: SparkSession, d: str) -> DataFrame:
     return chains.flow_strips(_seq(s, d))
 
 
+@query(_with("edge", """SELECT count(*) AS n_events, count(DISTINCT occurrence_description) AS n_distinct, count(DISTINCT ev_id) AS n_incidents, (SELECT count(DISTINCT event) FROM edge) AS n_followed FROM sq"""))
+def event_totals(s: SparkSession, d: str) -> DataFrame:
+    return chains.event_totals(_seq(s, d))
+
+
 @query(_with("sq", "SELECT occurrence_description AS event, count(*) AS n, round(count(*) / (SELECT count(DISTINCT ev_id) FROM sq)::DOUBLE, 6) AS per_incident FROM sq GROUP BY 1"))
 def event_frequency(s: SparkSession, d: str) -> DataFrame:
     return chains.event_frequency(_seq(s, d))

@@ -45,11 +45,16 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f for f in found if not f.rsplit("/", 1)[1].startswith(("_", ".")))
 
 
-def _opened(path: str):
-    """A seekable file on whatever file system ``path`` names, for use in a task."""
+def file_system(path: str):
+    """The file system that ``path`` names and the path on it, for use in a task."""
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def _opened(path: str):
+    """A seekable file, for use in a task."""
+    system, at = file_system(path)
     return system.open_input_file(at)
 
 
@@ -157,32 +162,36 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def npy_matrix(spark: SparkSession, path: str, block_bytes: int = 64 << 20) -> DataFrame:
-    """A saved two-dimensional array as (entry_id, embedding); the row position is the id. Ranges of rows are read by tasks of their own."""
+    """A saved two-dimensional array, or a folder of such, as (entry_id, embedding); the row position is the id and goes on from file to file. Ranges of rows are read by tasks of their own."""
     import numpy as np
 
-    with _opened(_files(spark, path)[0]) as f:
-        major = np.lib.format.read_magic(f)[0]
-        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
-        start = f.tell()
-    if fortran or len(shape) != 2 or kind.hasobject:
-        raise ValueError("a two-dimensional array in row order is needed")
-    row = shape[1] * kind.itemsize
-    step, descr = max(1, block_bytes // max(1, row)), kind.str
-    parts = [(_files(spark, path)[0], lo, min(step, shape[0] - lo)) for lo in range(0, shape[0], step)]
+    parts, before = [], 0
+    for file in _files(spark, path):
+        with _opened(file) as f:
+            major = np.lib.format.read_magic(f)[0]
+            shape, fortran, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
+            start = f.tell()
+        if fortran or len(shape) != 2 or kind.hasobject:
+            raise ValueError("a two-dimensional array in row order is needed")
+        step = max(1, block_bytes // max(1, shape[1] * kind.itemsize))
+        parts += [(file, kind.str, shape[1], start, before, lo, min(step, shape[0] - lo)) for lo in range(0, shape[0], step)]
+        before += shape[0]
 
     def rows(frames):
         import pandas as pd
 
         for frame in frames:
-            for file, lo, n in zip(frame["file"], frame["first"], frame["n"]):
+            for file, descr, width, start, before, lo, n in frame.itertuples(index=False):
+                row = width * np.dtype(descr).itemsize
                 with _opened(file) as f:
                     for at in range(lo, lo + n, 1000):
                         take = min(1000, lo + n - at)
                         f.seek(start + at * row)
                         m = np.frombuffer(f.read(take * row), descr).reshape(take, -1).astype("float32")
-                        yield pd.DataFrame({"entry_id": range(at, at + take), "embedding": list(m)})
+                        yield pd.DataFrame({"entry_id": range(before + at, before + at + take), "embedding": list(m)})
 
-    return _per_file(spark, parts, "file string, first bigint, n bigint", rows, "entry_id bigint, embedding array<float>")
+    names = "file string, descr string, width bigint, start bigint, before bigint, first bigint, n bigint"
+    return _per_file(spark, parts, names, rows, "entry_id bigint, embedding array<float>")
 
 
 def setting(name: str, default: str | None = None) -> str:
