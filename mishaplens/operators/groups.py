@@ -32,7 +32,13 @@ def first_per_key(df: DataFrame, by: str, order: list[str], columns: list[str] |
 
 
 def large_keys(df: DataFrame, by: str, least: int | None = None) -> list:
-    """Keys with too many rows for one task: LARGE at least, and a 1000th of all, so at most 1000."""
+    """Keys with too many rows for one task: LARGE at least, and a 1000th of all, so at most 1000.
+
+    Repeated rows may be left in ``df``, as to count them with the others
+    costs less than to remove them first.
+    """
+    if df.count() < (least or LARGE):
+        return []
     return [r[0] for r in heavy_keys(df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")), [by], least=least or LARGE).collect()]
 
 
@@ -81,13 +87,13 @@ def grouped_records(df: DataFrame, by: str, order: list[str], into: str, chunk:
     return placed.groupBy(by, "part_no").agg(F.transform(packed, lambda x: x["r"]).alias(into))
 
 
-def with_next(df: DataFrame, by: str, order: list[str], value: str, block: int = 10_000) -> DataFrame:
+def with_next(df: DataFrame, by: str, order: list[str], value: str, block: int = 10_000, large: list | None = None) -> DataFrame:
     """Each row with its position, whether a row follows in its key (has_next), and the ``value`` of that row (next_value).
 
     For large keys, work is cut into blocks of positions; the first row of a
     block is lent to the one before, so no task meets a whole one.
     """
-    small, hot = _split(df, by, large_keys(df, by))
+    small, hot = _split(df, by, large_keys(df, by) if large is None else large)
     w = Window.partitionBy(by).orderBy(*_order(df, by, order))
     out = small.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("position"), F.lead(value).over(w).alias("next_value"), F.coalesce(F.lead(F.lit(True)).over(w), F.lit(False)).alias("has_next"))
     if hot is None:

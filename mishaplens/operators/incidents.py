@@ -60,7 +60,8 @@ def incident_records(
     }
     if injuries is not None:
         arrays["injuries"] = (child_rows(injuries, INJURY_COLUMNS), [])
-    large = {k: large_keys(df, "ev_id") for k, (df, _) in arrays.items()}
+    raw = {"sequence_of_events": sequences, "findings": findings, "engines": engines, "injuries": injuries}
+    large = {k: large_keys(keyed(raw[k].select("ev_id")), "ev_id") for k in arrays}
     groups = {k: grouped_records(df, "ev_id", order, k, chunk, large[k]) for k, (df, order) in arrays.items()}
     kinds = {k: g.schema[k].dataType.simpleString() for k, g in groups.items()}
     rows = base.select("ev_id", F.lit(0).alias("part_no"))
