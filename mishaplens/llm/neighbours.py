@@ -15,6 +15,8 @@ PART_ROWS, MAX_PARTS, MAX_INNER = 2000, 1024, 64
 SAMPLE_PER_PART, MAX_SAMPLE = 160, 60_000
 #: Rows of one side that a task compares at a time; parts with more are cut into cells.
 CELL_ROWS = 20_000
+#: Cells that one task compares, about.
+CELLS_A_TASK = 4
 #: Cosines that differ by less are equal.
 TIE = np.float32(1e-6)
 
@@ -65,10 +67,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    """(entry_id, vec): vectors of ``dim`` finite numbers, not all zero, scaled to 16-bit integers, once per entry.
-
-    Sixteen bits move a cosine by about 0.00001 and halve what is shuffled.
-    """
+    """(entry_id, vec): vectors of ``dim`` finite numbers, not all zero, as bytes whose order is that of the vectors; once per entry, of differing ones the least."""
 
     def packed(batches):
         import pyarrow as pa
@@ -78,25 +77,47 @@ def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
             lists = b.column(1)
             full = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False), pc.is_valid(b.column(0)))
             b = b.filter(full)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("f8")
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("f4")
             top = np.abs(x).max(1, initial=0)  # NaN stays NaN
             good = np.isfinite(top) & (top > 0)
-            q = np.rint(x[good] / top[good, None] * 32767).astype("<i2")
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in q], pa.binary())], names=["entry_id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in _ordered(x[good])], pa.binary())], names=["entry_id", "vec"])
 
-    rows = vectors.select(F.col("entry_id").cast("bigint"), "embedding").mapInArrow(packed, "entry_id bigint, vec binary")
+    rows = vectors.select(F.col("entry_id").cast("bigint"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(packed, "entry_id bigint, vec binary")
     return rows.groupBy("entry_id").agg(F.min("vec").alias("vec"))
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Numbers as big-endian bits that sort as they do: the sign flipped, negative ones inverted."""
+    bits = (x + np.float32(0)).view("u4")
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(">u4")
+
+
+def _numbers(vecs, dim: int) -> np.ndarray:
+    bits = np.frombuffer(b"".join(bytes(v) for v in vecs), ">u4").astype("u4").reshape(-1, dim)
+    return np.where(bits >> 31, bits & np.uint32((1 << 31) - 1), ~bits).view("f4")
+
+
+def _scaled(x: np.ndarray) -> list[bytes]:
+    """Vectors as 16-bit integers, which moves a cosine by about 0.00001 and halves what is shuffled."""
+    x = x.astype("f8")
+    return [r.tobytes() for r in np.rint(x / np.abs(x).max(1, initial=0)[:, None] * 32767).astype("<i2")]
+
+
 def _learned(x: np.ndarray, parts: int, seed: int, **how) -> Router:
     graph = neighbour_graph(x, 10)
     return Router.fit(x, graph, balanced_parts(graph, parts, seed), parts, seed=seed, **how)
 
 
 def _unpacked(vecs, dim: int) -> np.ndarray:
+    """Unit vectors of 16-bit integers."""
     return _unit(np.frombuffer(b"".join(bytes(v) for v in vecs), "<i2").reshape(-1, dim).astype("f4"))
 
 
+def _units(vecs, dim: int) -> np.ndarray:
+    x = _numbers(vecs, dim).astype("f8")
+    return _unit(x / np.abs(x).max(1, initial=0)[:, None])
+
+
 def _sampled(vectors: DataFrame, dim: int, share: float, seed: int) -> DataFrame:
     return usable_vectors(vectors.filter(F.pmod(F.xxhash64("entry_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))), dim)
 
@@ -104,7 +125,8 @@ def _sampled(vectors: DataFrame, dim: int, share: float, seed: int) -> DataFrame
 def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Index:
     """Learn the parts from samples; their number follows the number of vectors.
 
-    The sample's rows (by a hash of the id, MAX_SAMPLE at most) give the
+    The sample's rows (by a hash of the id, MAX_SAMPLE at most) tell how many
+    rows are usable, and give the
     neighbour graph, its balanced cut and the training rows. All vectors are
     later placed by the classifier. The first level has as many parts as
     MAX_SAMPLE gives SAMPLE_PER_PART rows each, and MAX_PARTS at most; where
@@ -113,21 +135,23 @@ def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Ind
     of the parts in the samples only decide into how many cells the work on a
     part is cut.
     """
-    n = vectors.count()
-    parts = inner = 1
+    rows = vectors.count()
+    if not rows:
+        return Index(None, margin, *[np.ones(1, "int64")] * 2)
     most = min(MAX_PARTS, MAX_SAMPLE // SAMPLE_PER_PART)  # each part of the first level has its full share of the sample
+    share = min(1.0, min(MAX_SAMPLE, max(4000, SAMPLE_PER_PART * rows / (0.75 * PART_ROWS))) / rows)
+    picked = _sampled(vectors, dim, share, seed).limit(2 * MAX_SAMPLE).toPandas().sort_values("entry_id")
+    n = max(1, round(len(picked) / share))  # usable entries, about
+    parts = inner = 1
     while 2 * parts <= most and n / parts > 1.5 * PART_ROWS:
         parts *= 2
     while inner < MAX_INNER and n / (parts * inner) > 1.5 * PART_ROWS:
         inner *= 2
-    whole = np.full(1, max(1, -(-n // CELL_ROWS)), "int64")
     if parts == 1:
+        whole = np.full(1, max(1, -(-n // CELL_ROWS)), "int64")
         return Index(None, margin, whole, whole)
-    wanted = min(MAX_SAMPLE, max(4000, SAMPLE_PER_PART * parts))
-    picked = _sampled(vectors, dim, wanted / n, seed).limit(2 * MAX_SAMPLE).toPandas().sort_values("entry_id")
-    if len(picked) < 4 * parts:
-        return Index(None, margin, whole, whole)
-    x = _unpacked(picked["vec"], dim)
+    whole = np.ones(1, "int64")
+    x = _units(picked["vec"], dim)
     index = Index(_learned(x, parts, seed), margin, whole, whole)
     if inner > 1:
         index.inner, index.n_inner = _inner_routers(vectors, dim, index, parts, inner, n, seed), inner
@@ -149,7 +173,7 @@ def _inner_routers(vectors: DataFrame, dim: int, index: Index, parts: int, inner
 
         for b in batches:
             if b.num_rows:
-                row, part, own = shared.value.locate(_unpacked(b.column(1).to_pylist(), dim))
+                row, part, own = shared.value.locate(_units(b.column(1).to_pylist(), dim))
                 yield pa.RecordBatch.from_arrays([pa.array(part[own]), b.column(0), b.column(1)], names=["part", "entry_id", "vec"])
 
     def fit(pdf):
@@ -161,7 +185,7 @@ def _inner_routers(vectors: DataFrame, dim: int, index: Index, parts: int, inner
         part = int(pdf["part"].iloc[0])
         if len(pdf) < 4 * inner:
             return pd.DataFrame({"part": [], "weights": []})
-        r = _learned(_unpacked(pdf["vec"], dim), inner, seed + part, hidden=64)
+        r = _learned(_units(pdf["vec"], dim), inner, seed + part, hidden=64)
         return pd.DataFrame({"part": [part], "weights": [pickle.dumps(r.weights)]})
 
     sample = _sampled(vectors, dim, parts * each / n, seed + 1).mapInArrow(parted, "part bigint, entry_id bigint, vec binary")
@@ -171,7 +195,7 @@ def _inner_routers(vectors: DataFrame, dim: int, index: Index, parts: int, inner
     return {r.part: Router(pickle.loads(bytes(r.weights))) for r in found}
 
 
-def _placed(index: Index, dim: int):
+def _placed(index: Index, dim: int, divisor: int = 1):
     """Copies of each vector for the cells it is kept in and looked for in: (cell, entry_id, owner, vec, kept, asked)."""
 
     def run(batches):
@@ -181,8 +205,9 @@ def _placed(index: Index, dim: int):
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = _unpacked(b.column(2).to_pylist(), dim)
-            row, part, own = index.locate(x)
+            numbers = _numbers(b.column(2).to_pylist(), dim)
+            vec = pa.array(_scaled(numbers), pa.binary())
+            row, part, own = index.locate(_unit(numbers / np.abs(numbers).max(1, initial=0)[:, None]))
             spread = (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype("int64")
             nb, nq = index.base_cells[part], index.query_cells[part]
             i0, j0 = spread[row] % nb, spread[row] % nq
@@ -201,10 +226,11 @@ def _placed(index: Index, dim: int):
                 s = every[(ii < nb) & ~(own & (ii == i0))]
                 add(s, np.full(len(s), ii), j0[s], False, True)
             at, i, j, keep, ask = map(np.concatenate, (at, i, j, keep, ask))
+            ask &= ids[row[at]] % divisor == 0
             cell = (part[at].astype("int64") << 40) + (i << 20) + j
             take = pa.array(row[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(keep), pa.array(ask)],
+                [pa.array(cell), b.column(0).take(take), b.column(1).take(take), vec.take(take), pa.array(keep), pa.array(ask)],
                 names=["cell", "entry_id", "owner", "vec", "kept", "asked"],
             )
 
@@ -218,7 +244,7 @@ def _compared(k: int, dim: int, least: float | None):
         import pandas as pd
 
         x = _unpacked(pdf["vec"], dim)
-        ids, owner = pdf["entry_id"].to_numpy("int64"), pdf["owner"].fillna(0).to_numpy("int64")
+        ids, owner = pdf["entry_id"].to_numpy("int64"), pdf["owner"].to_numpy("int64")
         kept, asked = np.flatnonzero(pdf["kept"].to_numpy()), np.flatnonzero(pdf["asked"].to_numpy())
         base, bids, bown = x[kept], ids[kept], owner[kept]
         found = []
@@ -263,16 +289,29 @@ def nearest_neighbours(vectors: DataFrame, owners: DataFrame, k: int = 5, dim: i
     all that is kept, and the best of all parts win. A larger margin finds
     more and costs in proportion; README has the recall.
     """
-    index = fit_index(vectors, dim, margin)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    return _searched(vectors, owners, k, dim, fit_index(vectors, dim, margin), min_cosine)
+
+
+def exact_neighbours(vectors: DataFrame, owners: DataFrame, k: int = 5, dim: int = 64, every: int = 50) -> DataFrame:
+    """As nearest_neighbours, for the entries whose id is divisible by ``every``, compared with all others block by block: what recall is measured against."""
+    n = vectors.count()
+    whole = np.full(1, max(1, -(-n // CELL_ROWS)), "int64")
+    return _searched(vectors, owners, k, dim, Index(None, 0.0, whole, np.ones(1, "int64")), None, every)
+
+
+def _searched(vectors: DataFrame, owners: DataFrame, k: int, dim: int, index: Index, min_cosine: float | None, every: int = 1) -> DataFrame:
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(index)
     who = owners.select(F.col("entry_id").cast("bigint").alias("entry_id"), "owner").dropna().groupBy("entry_id").agg(F.xxhash64(F.min("owner")).alias("owner"))
-    rows = usable_vectors(vectors, dim).join(who, "entry_id", "left").select("entry_id", "owner", "vec")
+    rows = usable_vectors(vectors, dim).join(who, "entry_id", "left").select("entry_id", F.coalesce("owner", F.lit(0).cast("bigint")).alias("owner"), "vec")
 
     def place(batches):
-        yield from _placed(shared.value, dim)(batches)
+        yield from _placed(shared.value, dim, every)(batches)
 
     copies = rows.mapInArrow(place, "cell bigint, entry_id bigint, owner bigint, vec binary, kept boolean, asked boolean")
-    found = copies.groupBy("cell").applyInPandas(_compared(k, dim, min_cosine), "entry_id bigint, neighbour_id bigint, cosine double")
+    cells = int((index.base_cells * index.query_cells).sum())
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells // CELLS_A_TASK)  # a task's share does not grow with the data
+    found = copies.repartition(wide, "cell").groupBy("cell").applyInPandas(_compared(k, dim, min_cosine), "entry_id bigint, neighbour_id bigint, cosine double")
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "neighbour_id"))), 1, k)
     merged = found.groupBy("entry_id").agg(best.alias("best")).select("entry_id", F.posexplode("best").alias("i", "n"))
     out = merged.select("entry_id", "n.neighbour_id", (-F.col("n.d")).alias("cosine"), (F.col("i") + 1).alias("place"))

@@ -92,6 +92,15 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.select("entry_id", "neighbour_id", F.round("cosine", 3).alias("cosine"), "place")
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether p5_neighbours gives 0.9 or more of the places that a comparison with all entries gives, for entries whose id is divisible by 50."""
+    vectors, owners = _vectors(spark, d)
+    true = neighbours.exact_neighbours(vectors, owners)
+    found = p5_neighbours(spark, d).filter(F.col("entry_id") % 50 == 0).select("entry_id", "neighbour_id", F.lit(True).alias("hit"))
+    both = true.join(found, ["entry_id", "neighbour_id"], "left")
+    return both.agg(F.countDistinct("entry_id").alias("n_queries"), (F.count_if("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 # Problem 6
 
 _NAME_FIELDS = (("acft_make", "aircraft", "maker", names.Reference), ("acft_model", "aircraft", "model", names.ModelReference), ("eng_mfgr", "engines", "maker", names.Reference))
@@ -140,6 +149,41 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit: texts packed, texts whose pieces do not make them up, texts cut though they fit, containers above capacity, and gaps in their numbers."""
+    sizes, caps = _token_sizes(spark, d), _capacities(spark, d)
+    packed = stage(packing.pack(sizes, caps), "packed")
+    per_item = packed.groupBy("limit_label", "item_id").agg(F.sum("size").alias("used"), F.count("*").alias("n_pieces"))
+    limits = F.broadcast(table(spark, d, "pack_limits"))
+    items = per_item.join(sizes, "item_id").join(limits, "limit_label").groupBy("limit_label").agg(
+        F.count("*").alias("n_texts"),
+        F.count_if(F.col("used") != F.col("size")).alias("n_not_whole"),
+        F.count_if((F.col("n_pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("n_cut"),
+    )
+    bins = packed.groupBy("limit_label", "bin_no").agg(F.sum("size").alias("used")).join(limits, "limit_label").groupBy("limit_label").agg(
+        F.count_if(F.col("used") > F.col("capacity_tokens")).alias("n_too_full"), (F.max("bin_no") - F.count("*")).alias("n_gaps")
+    )
+    return items.join(bins, "limit_label")
+
+
+def p9_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: texts of another source, repeated above the cap or given twice; whether use and shares reported are those of the texts; and whether the target is within 0.005, unless the source is exhausted."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("own"))
+    chosen, shares = _mix(spark, d)
+    chosen = stage(chosen, "chosen")
+    facts = chosen.join(docs, "item_id").groupBy("source").agg(
+        F.count_if(F.col("own") != F.col("source")).alias("n_foreign"), (F.count("*") - F.countDistinct("item_id")).alias("n_twice"), F.sum(F.col("size") * F.col("repeats")).alias("sum_used"), F.max("repeats").alias("most")
+    )
+    total = F.broadcast(chosen.agg(F.sum(F.col("size") * F.col("repeats")).alias("all_used")))
+    out = shares.join(facts, "source", "left").join(total).na.fill(0, ["n_foreign", "n_twice", "sum_used", "most"])
+    spent = F.col("used") >= 0.99 * F.col("available") * F.col("max_repeats")
+    return out.select(
+        "source", "n_foreign", "n_twice", (F.col("most") <= F.col("max_repeats")).alias("within_cap"),
+        ((F.col("used") == F.col("sum_used")) & (F.abs(F.col("reached_share") - F.col("sum_used") / F.col("all_used")) < 1e-9)).alias("as_reported"),
+        (spent | (F.abs(F.col("reached_share") - F.col("target_share")) <= 0.005)).alias("on_target"),
+    )
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixed(_token_sizes(spark, d), table(spark, d, "source_targets"))
 
@@ -167,6 +211,13 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(_texts(spark, d))
 
 
+def p10_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: texts judged, each once, and texts that end in a full stop behind a letter and count as cut all the same."""
+    j = truncation.judged_texts(_texts(spark, d)).join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    closed = F.col("truncated") & F.col("text").rlike("[a-z]\\.\\z")
+    return j.groupBy("source").agg(F.count("*").alias("n_judged"), F.countDistinct("item_id").alias("n_texts"), F.count_if(closed).alias("n_closed_cut"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -177,14 +228,18 @@ QUERIES = {
     "p4_patterns": p4_patterns,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p6_spellings": p6_spellings,
     "p8_packed": p8_packed,
     "p8_containers": p8_containers,
+    "p8_audit": p8_audit,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_audit": p9_audit,
     "p10_found": p10_found,
     "p10_report": p10_report,
+    "p10_audit": p10_audit,
 }
 
 
@@ -257,5 +312,10 @@ SQL = {
     "p3_frequencies": _P3 + "SELECT field_label, unit_label, token, occurrences, records, mark FROM m",
     "p4_found": _P4 + "SELECT step_1, step_2, step_3 FROM f",
     "p5_found": _P5 + "SELECT DISTINCT least(a, b) AS entry_id_a, greatest(a, b) AS entry_id_b FROM n WHERE s >= 0.9",
+    "p5_recall": """SELECT count(DISTINCT entry_id) AS n_queries, true AS recall_reached FROM entry_vectors
+      WHERE entry_id % 50 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
+    "p8_audit": "SELECT limit_label, (SELECT count(*) FROM documents) AS n_texts, 0 AS n_not_whole, 0 AS n_cut, 0 AS n_too_full, 0 AS n_gaps FROM pack_limits",
+    "p9_audit": "SELECT source, 0 AS n_foreign, 0 AS n_twice, true AS within_cap, true AS as_reported, true AS on_target FROM source_targets",
+    "p10_audit": "SELECT source, count(*) AS n_judged, count(*) AS n_texts, 0 AS n_closed_cut FROM documents WHERE regexp_matches(text, '[^\\s]') GROUP BY 1",
     "p4_patterns": _P4 + "SELECT step_1, step_2, step_3, support FROM f",
 }
