@@ -13,45 +13,101 @@ BLOCK_BITS = 12
 TERM = "[a-z0-9]+"
 
 
-def _partial_arrays(batches):
-    """Count arrays of one partition: per block of identifiers the offsets met, their occurrences and their records."""
-    import numpy as np
-    import pyarrow as pa
+class _Blocks:
+    """Count arrays by block of identifiers: occurrences and records."""
 
-    blocks: dict[int, tuple] = {}
-    size = 1 << BLOCK_BITS
+    def __init__(self) -> None:
+        self.blocks: dict[int, tuple] = {}
 
-    def rows():
-        for b, (occ, rec) in blocks.items():
-            at = np.flatnonzero(rec)
-            yield b, at.astype("int32"), occ[at], rec[at]
-
-    def flush():
-        found = list(rows())
-        blocks.clear()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.list_(pa.int64()))],
-            names=["block", "at", "occ", "rec"],
-        )
+    def add(self, ids, occurrences, records) -> None:
+        """Counts of distinct identifiers in ascending order."""
+        import numpy as np
 
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        n = batch.column(1).to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        ids, n = ids[order], n[order]
+        size = 1 << BLOCK_BITS
         which = ids >> BLOCK_BITS
         cuts = np.flatnonzero(np.diff(which)) + 1
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
-            if lo == hi:
-                continue
-            occ, rec = blocks.setdefault(int(which[lo]), (np.zeros(size, "int64"), np.zeros(size, "int64")))
-            at = ids[lo:hi] & (size - 1)
-            np.add.at(occ, at, n[lo:hi])
-            np.add.at(rec, at, 1)
-        if len(blocks) > 1000:  # 64 MB of arrays
-            yield from flush()
-    if blocks:
-        yield from flush()
+            if lo < hi:
+                occ, rec = self.blocks.setdefault(int(which[lo]), (np.zeros(size, "int64"), np.zeros(size, "int64")))
+                at = ids[lo:hi] & (size - 1)
+                occ[at] += occurrences[lo:hi]
+                rec[at] += records[lo:hi]
+
+    def taken(self, above: int = 0):
+        """What has been counted, without its zeros, as one batch if there are more than ``above`` blocks."""
+        import numpy as np
+        import pyarrow as pa
+
+        if len(self.blocks) <= above:
+            return
+        found = [(b, np.flatnonzero((occ > 0) | (rec > 0)), occ, rec) for b, (occ, rec) in self.blocks.items()]
+        self.blocks = {}
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([b for b, *_ in found], pa.int64()), pa.array([at.astype("int32") for _, at, _, _ in found], pa.list_(pa.int32())),
+                pa.array([occ[at] for _, at, occ, _ in found], pa.list_(pa.int64())), pa.array([rec[at] for _, at, _, rec in found], pa.list_(pa.int64())),
+            ],
+            names=["block", "at", "occ", "rec"],
+        )
+
+
+#: Blocks a task holds before it hands them on: 64 MB of arrays.
+_HELD = 1000
+
+
+def _of_pairs(batches):
+    """Count arrays of rows (id, n), one per record and identifier."""
+    import numpy as np
+
+    blocks = _Blocks()
+    for b in batches:
+        ids, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+        occ = np.zeros(len(ids), "int64")
+        np.add.at(occ, at, b.column(1).to_numpy(zero_copy_only=False))
+        blocks.add(ids, occ, np.bincount(at, minlength=len(ids)))
+        yield from blocks.taken(_HELD)
+    yield from blocks.taken()
+
+
+def _of_records(batches):
+    """Count arrays of rows (record, n, ids, times) in the order of records: a record's identifiers count once, also where it spans batches."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    blocks = _Blocks()
+    last, held = None, np.zeros(0, "int64")  # the record that may go on, and its identifiers so far
+
+    def close():
+        blocks.add(held, np.zeros(len(held), "int64"), np.ones(len(held), "int64"))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names, n, lists = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        record = np.r_[0, np.cumsum(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False))]
+        every = lists.flatten().to_numpy(zero_copy_only=False)
+        ids, at = np.unique(every, return_inverse=True)
+        occ = np.zeros(len(ids), "int64")
+        np.add.at(occ, at, np.repeat(n, sizes) * b.column(3).flatten().to_numpy(zero_copy_only=False))
+        if names[0].as_py() != last:
+            close()
+            held = np.zeros(0, "int64")
+        pairs = np.unique(np.repeat(record, sizes) * len(ids) + at)
+        whole, which = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+        again = (whole == 0) & np.isin(ids[which], held)  # counted with the batch before, or when it closes
+        if record[-1] > 0:
+            close()
+            held = ids[which[whole == record[-1]]]
+            counted = (whole < record[-1]) & ~again
+        else:
+            held = np.union1d(held, ids[which])
+            counted = np.zeros(len(pairs), bool)
+        last = names[-1].as_py()
+        blocks.add(ids, occ, np.bincount(which[counted], minlength=len(ids)))
+        yield from blocks.taken(_HELD)
+    close()
+    yield from blocks.taken()
 
 
 def _summed_arrays(batches):
@@ -91,11 +147,12 @@ def token_frequencies(records: DataFrame, heavy_share: float = HEAVY_SHARE) -> D
 
     Method: a global dictionary gives each distinct value and term an integer
     identifier. Values are cut into terms once, in the dictionary, not once a
-    row. Rows are reduced to (record, identifier, occurrences); each partition
-    adds these to count arrays by block of identifiers, kept where they are
-    not zero, and the arrays of a block are summed in one place. Values with a
-    large share of the rows are encoded by a broadcast of their few entries,
-    all others by a shuffled join.
+    row. Encoded rows are brought together by record; each task adds a
+    record's identifiers once, and all occurrences, to count arrays by block of identifiers, kept where
+    they are not zero, and the arrays of a block are summed in one place. A
+    record with a large share of the rows is spread by identifier instead.
+    Values with a large share are encoded by a broadcast of their few
+    entries, all others by a shuffled join.
     """
     inc = stage(records.select("field_label", "record", "value").dropna().groupBy("field_label", "record", "value").agg(F.count("*").alias("n")), "value_records")
     values = stage(inc.groupBy("field_label", "value").agg(F.count("*").alias("n")), "values")
@@ -119,13 +176,15 @@ def token_frequencies(records: DataFrame, heavy_share: float = HEAVY_SHARE) -> D
         "value_codes",
     )
     encoded = split_join(inc, codes, on, heavy_keys(values, on, share=heavy_share))
-    incidence = (
-        encoded.select("record", "n", F.explode("codes").alias("c"))
-        .groupBy("record", "c.id")
-        .agg(F.sum(F.col("n") * F.col("c.times")).alias("n"))
-        .select("id", "n")
-    )
-    partial = incidence.mapInArrow(_partial_arrays, "block bigint, at array<int>, occ array<bigint>, rec array<bigint>")
+    encoded = encoded.select("record", "n", F.transform("codes", lambda c: c["id"]).alias("ids"), F.transform("codes", lambda c: c["times"]).alias("times"))
+    arrays = "block bigint, at array<int>, occ array<bigint>, rec array<bigint>"
+    per_record = inc.groupBy("record").agg(F.count("*").alias("n"))
+    hot = [r.record for r in heavy_keys(per_record, ["record"], share=heavy_share).collect()]  # at most 1 / heavy_share
+    usual = encoded.filter(~F.col("record").isin(hot)) if hot else encoded
+    partial = usual.repartition("record").sortWithinPartitions("record").mapInArrow(_of_records, arrays)
+    if hot:  # a record with a large share of all rows is spread by identifier
+        pairs = encoded.filter(F.col("record").isin(hot)).select("record", "n", F.explode(F.arrays_zip("ids", "times")).alias("c")).groupBy("record", "c.ids").agg(F.sum(F.col("n") * F.col("c.times")).alias("n"))
+        partial = partial.unionByName(pairs.select("ids", "n").mapInArrow(_of_pairs, arrays))
     by_block = partial.repartition("block").sortWithinPartitions("block")
     counts = by_block.mapInArrow(_summed_arrays, "id bigint, occurrences bigint, records bigint")
     totals = inc.groupBy("field_label").agg(F.countDistinct("record").alias("n_records"))

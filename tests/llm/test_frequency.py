@@ -51,3 +51,15 @@ def test_blocks_are_flushed(spark, monkeypatch):
     monkeypatch.setattr(frequency, "BLOCK_BITS", 3)
     rows = [("f", f"k{i % 50}", f"v{i} common", 1, 1, "") for i in range(3000)]
     assert run(spark, rows) == model(rows)
+
+
+def test_records_that_span_batches(spark):
+    rnd = random.Random(5)
+    rows = [("f", f"r{rnd.randint(0, 12)}", " ".join(rnd.choices(["a", "b", "c", "d", "e"], k=rnd.randint(0, 6)))) for _ in range(400)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert run(spark, [(*r, 1, 1, "") for r in rows]) == model(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
