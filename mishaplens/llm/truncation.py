@@ -205,8 +205,17 @@ def learned_affixes(texts: DataFrame, ends: DataFrame) -> tuple[list[str], list[
         names.append((side, gram))
     if not names:
         return [], []
-    every = texts.select("text").mapInArrow(_occurrences(sorted({g for _, g in names})), "gram string, n_all bigint")
-    total = {r.gram: r.n_all for r in every.groupBy("gram").agg(F.sum("n_all").alias("n_all")).collect()}
+
+    def occurrences(of: DataFrame) -> dict[str, int]:
+        found = of.mapInArrow(_occurrences(sorted({g for _, g in names})), "gram string, n_all bigint")
+        return {r.gram: r.n_all for r in found.groupBy("gram").agg(F.sum("n_all").alias("n_all")).collect()}
+
+    # what stands too often in the first and last words alone need not be looked for in whole texts
+    least_of = occurrences(ends.filter(F.col("n_tokens") > 2 * ENDS).select(F.explode(F.array("head", "tail")).alias("text")))
+    names = [(s, g) for s, g in names if n_of[s, g] >= 0.9 * least_of.get(g, 0)]
+    if not names:
+        return [], []
+    total = occurrences(texts.select("text"))
     found = sorted(((s, g.strip(f"{_BREAK} ")) for s, g in names if n_of[s, g] >= 0.9 * total[g]), key=lambda x: (x[1].count(" "), x))
     kept: dict[str, list[str]] = {"head": [], "tail": []}
     for side, g in found:  # the shortest of those that are alike
