@@ -118,6 +118,16 @@ def _units(vecs, dim: int) -> np.ndarray:
     return _unit(x / np.abs(x).max(1, initial=0)[:, None])
 
 
+def _shortened(dim: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scaled(_numbers(b.column(1).to_pylist(), dim)), pa.binary())], names=["entry_id", "vec"])
+
+    return run
+
+
 def _sampled(vectors: DataFrame, dim: int, share: float, seed: int) -> DataFrame:
     return usable_vectors(vectors.filter(F.pmod(F.xxhash64("entry_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))), dim)
 
@@ -140,7 +150,7 @@ def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Ind
         return Index(None, margin, *[np.ones(1, "int64")] * 2)
     most = min(MAX_PARTS, MAX_SAMPLE // SAMPLE_PER_PART)  # each part of the first level has its full share of the sample
     share = min(1.0, min(MAX_SAMPLE, max(4000, SAMPLE_PER_PART * rows / (0.75 * PART_ROWS))) / rows)
-    picked = _sampled(vectors, dim, share, seed).limit(2 * MAX_SAMPLE).toPandas().sort_values("entry_id")
+    picked = _sampled(vectors, dim, share, seed).limit(2 * MAX_SAMPLE).mapInArrow(_shortened(dim), "entry_id bigint, vec binary").toPandas().sort_values("entry_id")
     n = max(1, round(len(picked) / share))  # usable entries, about
     parts = inner = 1
     while 2 * parts <= most and n / parts > 1.5 * PART_ROWS:
@@ -151,7 +161,7 @@ def fit_index(vectors: DataFrame, dim: int, margin: float, seed: int = 0) -> Ind
         whole = np.full(1, max(1, -(-n // CELL_ROWS)), "int64")
         return Index(None, margin, whole, whole)
     whole = np.ones(1, "int64")
-    x = _units(picked["vec"], dim)
+    x = _unpacked(picked["vec"], dim)
     index = Index(_learned(x, parts, seed), margin, whole, whole)
     if inner > 1:
         index.inner, index.n_inner = _inner_routers(vectors, dim, index, parts, inner, n, seed), inner
