@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mishaplens.functions.text import CAUSE_INDICATORS, causes_from_narrative, strip, truthy
-from mishaplens.operators.groups import CHUNK, grouped_records, large_keys
-from mishaplens.operators.incidents import FINDING_COLUMNS, child_rows, first_rows, keyed
+from mishaplens.operators.groups import CHUNK, grouped_records
+from mishaplens.operators.incidents import FINDING_COLUMNS, child_rows, crowded, first_rows
 
 
 def structured_causes(findings: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def incident_causes(occurrences: DataFrame) -> DataFrame:
 
 def finding_arrays(findings: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per incident and part of up to ``chunk`` findings, in their order: findings, cause_factors and causal_findings as arrays. Entries find theirs by incident."""
-    g = grouped_records(child_rows(findings, FINDING_COLUMNS), "ev_id", ["finding_no"], "f", chunk, large_keys(keyed(findings.select("ev_id")), "ev_id"))
+    g = grouped_records(child_rows(findings, FINDING_COLUMNS), "ev_id", ["finding_no"], "f", chunk, crowded(findings))
     causal = F.filter("f", lambda x: strip(x["cause_factor"]) == "C")
     return g.select(
         "ev_id", "part_no", F.transform("f", lambda x: x["finding_description"]).alias("findings"), F.transform("f", lambda x: x["cause_factor"]).alias("cause_factors"),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mishaplens.operators.groups import grouped_records, large_keys, with_next
-from mishaplens.operators.incidents import child_rows, keyed
+from mishaplens.operators.groups import grouped_records, with_next
+from mishaplens.operators.incidents import child_rows, crowded, keyed
 
 CHAIN = {"occurrence_no": "int", "occurrence_code": "string", "occurrence_description": "string", "phase_no": "string", "defining_ev": "int"}
 NO_CHAINS = "No causal chains found to build a chart."
@@ -22,11 +22,7 @@ def chain_edges(sequences: DataFrame) -> DataFrame:
 
 
 def _steps(sequences: DataFrame) -> DataFrame:
-    return with_next(chain_rows(sequences), "ev_id", ["occurrence_no"], "occurrence_description", large=_large(sequences))
-
-
-def _large(sequences: DataFrame) -> list:
-    return large_keys(keyed(sequences.select("ev_id")), "ev_id")
+    return with_next(chain_rows(sequences), "ev_id", ["occurrence_no"], "occurrence_description", large=crowded(sequences))
 
 
 def mermaid_lines(edges: DataFrame) -> DataFrame:
@@ -55,7 +51,7 @@ def mermaid_text(lines: DataFrame, ids: list[str]) -> str:
 
 def flow_strips(sequences: DataFrame, arrow: str = " → ", chunk: int = 1000) -> DataFrame:
     """Per incident and part the events in order as one text, with their number."""
-    g = grouped_records(chain_rows(sequences), "ev_id", ["occurrence_no"], "seq", chunk, _large(sequences))
+    g = grouped_records(chain_rows(sequences), "ev_id", ["occurrence_no"], "seq", chunk, crowded(sequences))
     return g.select("ev_id", "part_no", F.size("seq").alias("n_events"), F.array_join(F.transform("seq", lambda x: F.coalesce(x["occurrence_description"], F.lit("Unknown"))), arrow).alias("strip"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mishaplens.functions.text import iso, key, nan_text_to_null
+from mishaplens.operators import groups
 from mishaplens.operators.groups import CHUNK, array_of, first_per_key, grouped_records, large_keys
 from mishaplens.operators.skew import split_join
 from mishaplens.sources.tables import select_or_null, select_where
@@ -35,6 +36,11 @@ def first_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return first_per_key(picked, "ev_id", ["lchg_date"], list(columns))
 
 
+def crowded(df: DataFrame) -> list:
+    """Incidents with too many rows for one task; none, without looking, if the table has not that many."""
+    return large_keys(keyed(df.select("ev_id")), "ev_id") if df.count() >= groups.LARGE else []
+
+
 def child_rows(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
     """Distinct rows of a child table; all columns but those of the load date, or the named ones."""
     kept = select_where(keyed(df), lambda c: "lchg" not in c) if columns is None else select_or_null(keyed(df), {"ev_id": "string", **columns})
@@ -61,13 +67,13 @@ def incident_records(
     if injuries is not None:
         arrays["injuries"] = (child_rows(injuries, INJURY_COLUMNS), [])
     raw = {"sequence_of_events": sequences, "findings": findings, "engines": engines, "injuries": injuries}
-    large = {k: large_keys(keyed(raw[k].select("ev_id")), "ev_id") for k in arrays}
-    groups = {k: grouped_records(df, "ev_id", order, k, chunk, large[k]) for k, (df, order) in arrays.items()}
-    kinds = {k: g.schema[k].dataType.simpleString() for k, g in groups.items()}
+    large = {k: crowded(raw[k]) for k in arrays}
+    grouped = {k: grouped_records(df, "ev_id", order, k, chunk, large[k]) for k, (df, order) in arrays.items()}
+    kinds = {k: g.schema[k].dataType.simpleString() for k, g in grouped.items()}
     rows = base.select("ev_id", F.lit(0).alias("part_no"))
-    for g in groups.values():
+    for g in grouped.values():
         rows = rows.unionByName(g, allowMissingColumns=True)
-    parts = rows.groupBy("ev_id", "part_no").agg(*[F.first(k, ignorenulls=True).alias(k) for k in groups])
+    parts = rows.groupBy("ev_id", "part_no").agg(*[F.first(k, ignorenulls=True).alias(k) for k in grouped])
     hot = sorted({k for v in large.values() for k in v})
     if hot:  # one key may have a third of all parts
         out = split_join(parts, base, ["ev_id"], parts.sparkSession.createDataFrame([(k,) for k in hot], "ev_id string"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mishaplens.functions import text as T
 from mishaplens.functions.vectors import cosine, dot, norm
 from mishaplens.operators import causes, chains, entries, incidents, profile, retrieval
-from mishaplens.operators.groups import first_per_key, grouped_records, large_keys
+from mishaplens.operators.groups import first_per_key, grouped_records
 from mishaplens.operators.incidents import AIRCRAFT_COLUMNS, EVENT_COLUMNS, FINDING_COLUMNS, NARRATIVE_COLUMNS, child_rows, first_rows, keyed
 from mishaplens.sources.tables import select_or_null, select_where, table
 
@@ -217,7 +217,7 @@ def iso_dates(s: SparkSession, d: str) -> DataFrame:
 @query(_with("fi", """SELECT ev_id, (position // 500)::INT AS part_no, count(*) AS n, string_agg(coalesce(finding_description, '-'), ' | ' ORDER BY position) AS texts FROM (
   SELECT *, row_number() OVER (PARTITION BY ev_id ORDER BY finding_no NULLS LAST, finding_description NULLS FIRST, cause_factor NULLS FIRST) - 1 AS position FROM fi) GROUP BY 1, 2"""))
 def group_findings(s: SparkSession, d: str) -> DataFrame:
-    large = large_keys(keyed(table(s, d, "findings").select("ev_id")), "ev_id")
+    large = incidents.crowded(table(s, d, "findings"))
     g = grouped_records(_findings(s, d), "ev_id", ["finding_no"], "f", chunk=500, large=large)
     texts = F.array_join(F.transform("f", lambda x: F.coalesce(x["finding_description"], F.lit("-"))), " | ")
     return g.select("ev_id", "part_no", F.size("f").cast("bigint").alias("n"), texts.alias("texts"))
