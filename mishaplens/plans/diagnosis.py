@@ -151,10 +151,14 @@ def _vectors(s, d):
 
 def _query_vectors(s, d, n):
     """The vectors of the first entries stand in for embedded query texts."""
-    rows = retrieval.usable_rows(table(s, d, "entry_vectors"), DIM)
-    ids = [r.entry_id for r in rows.groupBy("entry_id").agg(F.count("*").alias("n")).orderBy("entry_id").limit(n).collect()]
-    found = retrieval.usable(rows.filter(F.col("entry_id").isin(ids)), DIM).collect()
-    return dict(enumerate(list(r.embedding) for r in sorted(found, key=lambda r: r.entry_id)))
+    rows = retrieval.usable_rows(table(s, d, "entry_vectors"), DIM).orderBy("entry_id", "embedding")
+    found, m, got = {}, 4 * n, None
+    while got is None or len(found) < n and len(got) == m:  # further rows if entries repeat
+        m = m if got is None else 8 * m
+        got = rows.limit(m).collect()
+        for r in got:
+            found.setdefault(r.entry_id, list(r.embedding))
+    return dict(enumerate(list(found.values())[:n]))
 
 
 def _scores(s, d, n=1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from mishaplens.session import stage
 
 # One field with the tab before it. Possessive, so a long text neither backtracks nor recurses.
 _FIELD = r'\t("[^"]*+(?:""[^"]*+)*+"(?=\t|\z)|(?!")[^\t"]*+)'
@@ -50,6 +52,23 @@ def read_layout(layout: DataFrame) -> dict[str, list[dict]]:
     return out
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files as strict loading takes them: line_id (unique), file_label (the file's name), line_no (from 1), raw_line.
+
+    Files are split among tasks; each part numbers its lines, and the counts
+    of a file's parts tell where each begins. No file is read by one task.
+    """
+    at = F.monotonically_increasing_id()
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"))
+    raw = stage(raw, "lines")
+    parts = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("file", "block", "first", before.alias("before"))
+    return raw.join(starts, ["file", "block"]).select(
+        F.col("at").alias("line_id"), F.element_at(F.split("file", "/"), -1).alias("file_label"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), F.col("value").alias("raw_line")
+    )
+
+
 def tokenised(lines: DataFrame) -> DataFrame:
     """Lines with ``fields`` (unquoted, trimmed), null where the quoting is broken."""
     padded = F.concat(F.lit("\t"), "raw_line")

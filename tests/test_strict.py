@@ -100,3 +100,17 @@ def test_empty(spark):
     assert strict.failing(df, layout).count() == 0 and strict.valid_rows(df, layout, "f").count() == 0
     one = spark.createDataFrame([(1, "f", 1, GOOD)], df.schema)
     assert [tuple(r) for r in strict.failing(one, layout.limit(0)).collect()] == [(1, "columns")]
+
+
+def test_numbered_lines(spark, tmp_path):
+    lines = {"a.txt": [f"row {i} " + "x" * (i % 50) for i in range(3000)], "b.txt": ["one", "", "three"]}
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = strict.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.file_label, r.line_no): r.raw_line for r in got} == {(n, i + 1): x for n, rows in lines.items() for i, x in enumerate(rows)}
+    assert len({r.line_id for r in got}) == len(got) == 3003
