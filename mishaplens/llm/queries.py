@@ -103,14 +103,21 @@ def p5_recall(spark: SparkSession, d: str) -> DataFrame:
 
 # Problem 6
 
-_NAME_FIELDS = (("acft_make", "aircraft", "maker", names.Reference), ("acft_model", "aircraft", "model", names.ModelReference), ("eng_mfgr", "engines", "maker", names.Reference))
+# The columns with names, by what they name.
+_NAMED = (("maker", names.Reference, (("acft_make", "aircraft"), ("eng_mfgr", "engines"))), ("model", names.ModelReference, (("acft_model", "aircraft"),)))
 
 
 def p6_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that name the same kind of item are attributed together, so that what is learned from one holds for the other."""
     out = None
-    for field, t, ref_field, kind in _NAME_FIELDS:
-        part = names.attributed(table(spark, d, t).select(F.col(field).alias("spelling")), table(spark, d, "name_reference"), ref_field, kind)
-        part = part.select(F.lit(field).alias("name_field"), "spelling", "n_rows", "ref_id", "ref_label")
+    for ref_field, kind, columns in _NAMED:
+        typed = None
+        for field, t in columns:
+            part = table(spark, d, t).select(F.lit(field).alias("name_field"), F.col(field).alias("spelling"))
+            typed = part if typed is None else typed.unionByName(part)
+        found = names.attributed(typed, table(spark, d, "name_reference"), ref_field, kind).select("spelling", "ref_id", "ref_label")
+        counted = typed.filter(F.col("spelling").isNotNull()).groupBy("name_field", "spelling").agg(F.count("*").alias("n_rows"))
+        part = counted.join(found, "spelling").select("name_field", "spelling", "n_rows", "ref_id", "ref_label")
         out = part if out is None else out.unionByName(part)
     return out
 
