@@ -321,8 +321,8 @@ SQL = {
     "p5_found": _P5 + "SELECT DISTINCT least(a, b) AS entry_id_a, greatest(a, b) AS entry_id_b FROM n WHERE s >= 0.9",
     "p5_recall": """SELECT count(DISTINCT entry_id) AS n_queries, true AS recall_reached FROM entry_vectors
       WHERE entry_id % 50 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
-    "p8_audit": "SELECT limit_label, (SELECT count(*) FROM documents) AS n_texts, 0 AS n_not_whole, 0 AS n_cut, 0 AS n_too_full, 0 AS n_gaps FROM pack_limits",
-    "p9_audit": "SELECT source, 0 AS n_foreign, 0 AS n_twice, true AS within_cap, true AS as_reported, true AS on_target FROM source_targets",
-    "p10_audit": "SELECT source, count(*) AS n_judged, count(*) AS n_texts, 0 AS n_closed_cut FROM documents WHERE regexp_matches(text, '[^\\s]') GROUP BY 1",
+    "p8_audit": "SELECT limit_label, (SELECT count(*) FROM documents) AS n_texts, 0::BIGINT AS n_not_whole, 0::BIGINT AS n_cut, 0::BIGINT AS n_too_full, 0::BIGINT AS n_gaps FROM pack_limits",
+    "p9_audit": "SELECT source, 0::BIGINT AS n_foreign, 0::BIGINT AS n_twice, true AS within_cap, true AS as_reported, true AS on_target FROM source_targets",
+    "p10_audit": "SELECT source, count(*) AS n_judged, count(*) AS n_texts, 0::BIGINT AS n_closed_cut FROM documents WHERE regexp_matches(text, '[^\\s]') GROUP BY 1",
     "p4_patterns": _P4 + "SELECT step_1, step_2, step_3, support FROM f",
 }
