@@ -31,7 +31,7 @@ def select_where(df: DataFrame, predicate) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: T.StructType | str | None = None, names: list[str] | None = None) -> DataFrame:
-    """Comma- or tab-separated text with a double-quote quote character; ``names`` renames by position."""
+    """Comma- or tab-separated text with a double-quote quote character; ``names`` renames by position. Empty fields are null, quoted or not."""
     r = spark.read.option("sep", sep).option("header", header).option("quote", '"').option("escape", '"')
     df = (r.schema(schema) if schema else r.option("inferSchema", False)).csv(path)
     return df.toDF(*names) if names else df

@@ -288,3 +288,67 @@ def test_large_keys(spark, monkeypatch):
     monkeypatch.setattr(groups, "LARGE", 150)
     assert groups.large_keys(many, "ev_id") == ["A"]
     assert sorted(map(str, incidents.incident_records(ev, na, ac, sq, many, en, chunk=7).collect())) == plain
+
+
+def test_writers_and_readers_agree(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    rows = [("A", 'say "x", then\ttab', 1.5), ("é\\", " blanks ", None), ("C", "", 0.0), ("D", None, -2.0), (None, "no key", 3.0)]
+    df = spark.createDataFrame(rows, "ev_id string, words string, n double").repartition(3)
+    value = T.StructType([T.StructField("words", T.StringType()), T.StructField("n", T.DoubleType())])
+    for i, part in enumerate((df, df.limit(0))):
+        kept = sorted(map(tuple, part.collect()), key=str)
+        sinks.write_delimited(part, str(tmp_path / f"d{i}"), "\t")
+        read = tables.delimited(spark, str(tmp_path / f"d{i}"), "\t", schema=df.schema)
+        assert sorted(map(tuple, read.collect()), key=str) == sorted(((a, b or None, n) for a, b, n in kept), key=str)
+        sinks.write_keyed_json(part, str(tmp_path / f"k{i}"))
+        assert sorted(map(tuple, tables.keyed_json(spark, str(tmp_path / f"k{i}"), value).collect()), key=str) == [r for r in kept if r[0] is not None]
+        sinks.write_json_array(part, str(tmp_path / f"a{i}"))
+        assert sorted(map(tuple, tables.json_array(spark, str(tmp_path / f"a{i}"), df.schema).collect()), key=str) == kept
+
+
+def test_matrix_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "NPY_ROWS", 10)
+    v = spark.range(45).selectExpr("99 - id as entry_id", "array(cast(id as float), 0.5f) as embedding").repartition(4)
+    assert sinks.write_npy(v, str(tmp_path / "m")) == 45
+    got = tables.npy_matrix(spark, str(tmp_path / "m")).orderBy("entry_id").collect()
+    assert [(r.entry_id, r.embedding) for r in got] == [(i, [44.0 - i, 0.5]) for i in range(45)]
+    assert sinks.write_npy(v.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_causes_chains_and_totals(spark):
+    from mishaplens.operators import chains
+
+    ev, na, _, sq, fi, _ = fixture(spark)
+    more = sq.unionByName(spark.createDataFrame([("A", 2, "2", "fall", None, 0, DAY), ("a", 3, "3", None, None, 0, DAY), ("Z", 1, "1", "spin", None, 1, DAY), (None, 1, "1", "x", None, 1, DAY)], sq.schema))
+    assert tuple(chains.event_totals(more).first()) == (4, 2, 2, 2)
+    assert tuple(chains.event_totals(more.limit(0)).first()) == (0, 0, 0, 0)
+    d = spark.createDataFrame([("c1", ["A", "A", "none"], 0.9, 1), ("c2", ["Z"], 0.1, 2)], "cause string, supporting array<string>, probability double, first_rank int")
+    assert [tuple(r) for r in chains.chains_of_causes(d, more, 1).collect()] == [("c1", "A", 0, 3, "spin → fall → Unknown")]
+    got = {(r.ev_id, r.part_no): r for r in causes.finding_arrays(fi, chunk=2).collect()}
+    assert got["A", 0].findings == ["early", "late"] and got["A", 0].causal_findings == ["early", "late"] and got["A", 1].cause_factors == ["F"]
+    assert got["B", 0].causal_findings == [None] and causes.finding_arrays(fi.limit(0)).count() == 0
+
+
+def test_entry_rows_stay_whole(spark):
+    m = spark.createDataFrame([(1, "incident", "B", "x"), (1, "incident", "a", "y"), (1, None, None, "z"), (None, "incident", "A", "x")], "entry_id long, source string, ev_id string, text string")
+    assert [tuple(r) for r in entries.mapped_entries(m).select("entry_id", "source", "ev_id", "text").collect()] == [(1, "incident", "A", "y")]
+
+
+def test_messages_and_call_ids(spark, tmp_path):
+    base = kb(spark, tmp_path / "kb")
+    words = spark.read.parquet(str(tmp_path / "kb" / "embeddings_map.parquet")).filter("source = 'dictionary'")
+    vectors = spark.read.parquet(str(tmp_path / "kb" / "entry_vectors.parquet"))
+    ask = lambda **t: agent.diagnose_incident(agent.KnowledgeBase(spark, base.folder, base.embed, 2, tables=t), "q")
+    assert ask(entry_vectors=vectors.limit(0)) == (None, agent.NOTHING_SIMILAR, None)
+    assert ask(embeddings_map=words)[1] == agent.NO_INCIDENT
+    assert ask(embeddings_map=words, entry_vectors=vectors.filter("entry_id = 2"))[1] == agent.DICTIONARY_ONLY.format("word")
+    seen = []
+
+    def chat(messages, tools):
+        seen.append([dict(m) for m in messages])
+        return ("", [agent.Call("diagnose_root_causes", '{"query": "q"}', "x1"), agent.Call("diagnose_root_causes", '{"query": "r"}')]) if tools else ("said", [])
+
+    agent.run_agent(base, chat)
+    calls = [c["id"] for m in seen[-1] for c in m.get("tool_calls", ())]
+    assert calls == ["x1", "call_1"] == [m["tool_call_id"] for m in seen[-1] if m["role"] == "tool"] and agent.DEFAULT_QUERY in seen[0][-1]["content"]
