@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +14,8 @@ from mishaplens.session import stage
 
 #: Items of a reference that every task reads at a time; a larger one is compared block by block.
 MAX_REFERENCE = 100_000
+#: Forms with learned words that every task reads at a time; what is learned for more is compared piece by piece.
+MAX_FORMS = 200_000
 #: A spelling that costs at most this is written as an item is, and counts for its prior.
 AS_WRITTEN = 0.5
 #: Natural logarithm of the likelihood lost per unit of channel cost; and costs above which a spelling means no item.
@@ -139,18 +143,21 @@ class Reference:
     place of a given name.
     """
 
-    def __init__(self, rows: list[tuple], learned: dict[str, set] | None = None, typed: dict[str, int] | None = None) -> None:
-        """``rows``: (ref_id, label, short_form, also_known)."""
+    #: Ways to find the items a spelling may mean: the first that finds any for it holds.
+    PHASES = ("_coded", "_exact", "_channel")
+    #: Of these, those in which the item of the smallest id has the spelling, and those that read what is learned.
+    FIRST, LEARNING = {"_coded"}, {"_exact", "_channel"}
+
+    def __init__(self, rows: list[tuple], learned: dict[str, set] | None = None, typed: dict[str, int] | None = None, ends: dict[str, int] | None = None) -> None:
+        """``rows``: (ref_id, label, short_form, also_known); ``ends``: how often each of ``ends(rows)`` is there in the whole reference, if ``rows`` is a block of one."""
         self.learned, typed = learned or {}, typed or {}
         self.cores, self.core_of, self.given, self.forms, self.codes, self.written = [], [], [], {}, {}, {}
         labels = [(ref, _words(label or ""), code, other) for ref, label, code, other in rows]
-        tails: dict[tuple, int] = {}
-        for t in (tuple(words[k:]) for _, words, _, _ in labels for k in (1, 2) if len(words) > k):
-            tails[t] = tails.get(t, 0) + 1
+        tails = Counter(self.ends(rows)) if ends is None else ends
         for ref, words, code, other in labels:
             if not words:
                 continue
-            own, rest = tuple(words[1:]), tuple(words[2:])
+            own, rest = " ".join(words[1:]), " ".join(words[2:])
             at = int(len(words) > 2 and tails[own] == 1 and (tails[rest] > 1 or typed.get(words[1], 0) > typed.get(words[0], 0)))
             given, core, tail = words[0] if at else None, words[at], words[at + 1 :]
             self._add(ref, core, given, self._written(core, tail, given))
@@ -166,8 +173,14 @@ class Reference:
             for w, _, c in forms:
                 found = self.written.setdefault(w, {})
                 found[ref] = min(c, found.get(ref, np.inf))
+        self.named = {c: (g, r) for c, g, r in zip(self.cores, self.given, self.core_of) if g}
         self._index()
 
+    @classmethod
+    def ends(cls, rows: list[tuple]) -> list[str]:
+        """The words from the second and from the third on of every label."""
+        return [" ".join(words[k:]) for _, label, *_ in rows for words in [_words(label or "")] for k in (1, 2) if len(words) > k]
+
     def _index(self) -> None:
         """Distinctive words by their pairs of letters, and the longest spelling that can come near any form."""
         self.sizes = np.array([len(c) for c in self.cores])
@@ -204,14 +217,24 @@ class Reference:
         self.forms.setdefault((ref, core), []).extend(forms)
 
     def evidence(self, words: list[str]):
-        """(what for, word): words typed beside a distinctive word in place of the given name of its label."""
-        at = {c: (g, r) for c, g, r in zip(self.cores, self.given, self.core_of) if g}
-        for i, w in enumerate(words):
-            if w in at and i == 1:
-                given, ref = at[w]
-                label = {x for f, _, _ in self.forms[ref, w][:1] for x in [f]}
-                if words[0] != given and not any(words[0] in f for f in label) and len(words[0]) > 1:
-                    yield given, words[0]
+        """(ref_id, told): a word typed beside a distinctive word in place of the given name of its label, after that name; '' if it is none."""
+        if len(words) > 1 and words[1] in self.named:
+            given, ref = self.named[words[1]]
+            w, label = words[0], self.forms[ref, words[1]][0][0]
+            yield ref, f"{given} {w}" if len(w) > 1 and w != given and w not in label else ""
+
+    @staticmethod
+    def told(words: list[str], found: list[tuple]) -> str:
+        """What a spelling tells by its evidence from all items: "given word", or ''."""
+        return max(found)[1] if found else ""
+
+    def added_forms(self) -> Counter:
+        """For each given name the most forms that a word learned for it adds."""
+        out: Counter = Counter()
+        for ref, core, given in zip(self.core_of, self.cores, self.given):
+            if given:
+                out[given] += len(self.forms[ref, core])
+        return out
 
     def _near(self, s: str) -> np.ndarray:
         """Distinctive words with enough pairs of letters in common with what was typed; digits also as the letters they look like."""
@@ -225,41 +248,75 @@ class Reference:
     def candidates(self, typed: list[list[str]]) -> list[dict]:
         """For each spelling (its words) the items it may mean, each with the cost of its cheapest form."""
         out: list[dict] = [{} for _ in typed]
-        whole = ["".join(w) for w in typed]
+        for phase in self.PHASES:
+            left = [i for i, found in enumerate(out) if not found]
+            for i, found in zip(left, getattr(self, phase)([typed[i] for i in left])):
+                out[i] = found
+        return out
+
+    def _coded(self, typed: list[list[str]]) -> list[dict]:
+        return [dict([self.codes[s]]) if (s := "".join(w)) in self.codes else {} for w in typed]
+
+    def _exact(self, typed: list[list[str]]) -> list[dict]:
+        return [dict(self.written.get("".join(w), ())) for w in typed]
+
+    def _fits(self, typed: list[list[str]]) -> tuple[list, list, np.ndarray]:
+        """Spellings, the distinctive words near them and how well these fit."""
         who, core = [], []
-        for i, s in enumerate(whole):
-            if s in self.codes:
-                out[i] = dict([self.codes[s]])
-            elif s in self.written:
-                out[i] = dict(self.written[s])
-            elif s and len(s) <= self.longest:
+        for i, words in enumerate(typed):
+            s = "".join(words)
+            if s and len(s) - (len(words[0]) if len(words) > 1 else 0) <= self.longest:  # a first word may stand for its initial
                 near = self._near(s)
                 who += [i] * len(near)
                 core += near.tolist()
         if not who:
-            return out
-        fit = np.array(_in_steps([whole[i] for i in who], [self.cores[k] for k in core], None, [0.0] * len(who), inside=True)) / self.sizes[core]
-        best = np.full(len(typed), np.inf)
-        np.minimum.at(best, who, fit)
-        text, form, drop, base, pair = [], [], [], [], []
-        for i, k, f in zip(who, core, fit):
-            if f > MOST_CORE or f > best[i] + NEAR_BEST:
-                continue
-            ref, given = self.core_of[k], self.given[k]
-            ways = [(whole[i], 0.0, self.forms[ref, self.cores[k]])]
-            if given and len(typed[i]) > 1:
-                if typed[i][0][0] == given[0]:
+            return who, core, np.zeros(0)
+        return who, core, np.array(_in_steps(["".join(typed[i]) for i in who], [self.cores[k] for k in core], None, [0.0] * len(who), inside=True)) / self.sizes[core]
+
+    def nearest(self, typed: list[list[str]]) -> np.ndarray:
+        """For each spelling how well the best distinctive word fits."""
+        return self._least(len(typed), *self._fits(typed)[::2])
+
+    @staticmethod
+    def _least(n: int, who: list, fit: np.ndarray) -> np.ndarray:
+        best = np.full(n, np.inf)
+        np.minimum.at(best, np.array(who, "int64"), fit)
+        return best
+
+    def _channel(self, typed: list[list[str]], best: list[float] | None = None) -> list[dict]:
+        """``best``: ``nearest`` among all items, if these are a block of them."""
+        out: list[dict] = [{} for _ in typed]
+        who, core, fit = self._fits(typed)
+        if best is None:
+            best = self._least(len(typed), who, fit)
+
+        def ways():
+            for i, k, f in zip(who, core, fit):
+                if f > MOST_CORE or f > best[i] + NEAR_BEST:
+                    continue
+                whole, ref, given = "".join(typed[i]), self.core_of[k], self.given[k]
+                ways = [(whole, 0.0, self.forms[ref, self.cores[k]])]
+                if given and len(typed[i]) > 1 and typed[i][0][0] == given[0]:
                     ways.append(("".join(typed[i][1:]), SAME_INITIAL, [f for f in self.forms[ref, self.cores[k]] if given not in f[0]]))
-            for s, extra, forms in ways:
-                for w, d, c in forms:
-                    if abs(len(s) - len(w)) <= 0.4 * len(w) + 3 or len(s) < len(w):
-                        pair.append((i, ref)), text.append(s), form.append(w), drop.append(d), base.append(c + extra)
-        for (i, ref), s, c, w in zip(pair, text, _in_steps(text, form, drop, base), form):
+                for s, extra, forms in ways:
+                    for w, d, c in forms:
+                        if abs(len(s) - len(w)) <= 0.4 * len(w) + 3 or len(s) < len(w):
+                            yield (i, ref), s, w, d, c + extra
+
+        for (i, ref), s, w, c in _compared(ways()):
             if c <= MOST_TOTAL * min(len(w), len(s)) + 1:
                 out[i][ref] = min(c, out[i].get(ref, np.inf))
         return out
 
 
+def _compared(ways, at_a_time: int = 500_000):
+    """(key, typed, form, cost) of (key, typed, form, omission costs or None, cost of the form), so many in memory at a time."""
+    ways = iter(ways)
+    while part := list(itertools.islice(ways, at_a_time)):
+        key, text, form, drop, base = (list(x) for x in zip(*part))
+        yield from zip(key, text, form, _in_steps(text, form, drop if drop[0] is not None else None, base))
+
+
 def _in_steps(text: list, form: list, drop: list | None, base: list, step: int = 20_000, inside: bool = False) -> list[float]:
     """Costs of many pairs, so many at a time, those of like lengths together; each with the cost of its form added."""
     order = sorted(range(len(text)), key=lambda i: (len(text[i]), len(form[i])))
@@ -276,63 +333,81 @@ class ModelReference(Reference):
     ``learned`` has, under '', words that are added to a model's name.
     """
 
-    def __init__(self, rows: list[tuple], learned: dict[str, set] | None = None, typed: dict[str, int] | None = None) -> None:
+    PHASES = ("_by_code", "_by_number_code", "_by_number", *Reference.PHASES)
+    FIRST, LEARNING = {"_by_code", "_by_number_code", *Reference.FIRST}, {"_by_number"}
+
+    def __init__(self, rows: list[tuple], learned: dict[str, set] | None = None, typed: dict[str, int] | None = None, ends: dict[str, int] | None = None) -> None:
         self.by_number: dict[str, list] = {}
         self.number_codes, general = {}, []
         self.added = sorted((learned or {}).get("", ()))
         for ref, label, code, other in rows:
-            shaped = False
-            for name in (label, other):
-                m = re.fullmatch(r"([a-z]+)([0-9]+)", compact(name or ""))
-                if m:
-                    shaped = True
-                    self.by_number.setdefault(m[2].lstrip("0"), []).append((ref, m[1]))
+            shaped = self._shaped(label, other)
+            for number, word in shaped:
+                self.by_number.setdefault(number, []).append((ref, word))
             if code and compact(code):
                 self.number_codes.setdefault(compact(code), (ref, 0.0))
             if not shaped:
                 general.append((ref, label, code, other))
-        super().__init__(general, learned, typed)
+        super().__init__(general, learned, typed, ends)
+
+    @staticmethod
+    def _shaped(label: str | None, other: str | None) -> list[tuple]:
+        """(number, word) of the names that are a word and a number."""
+        return [(m[2].lstrip("0"), m[1]) for name in (label, other) if (m := re.fullmatch(r"([a-z]+)([0-9]+)", compact(name or "")))]
+
+    @classmethod
+    def ends(cls, rows: list[tuple]) -> list[str]:
+        return super().ends([r for r in rows if not cls._shaped(r[1], r[3])])
 
     def evidence(self, words: list[str]):
+        """(0, word): the words typed that are the word of an item with the number beside them, if there are two words."""
         numbers = [w.lstrip("0") for w in words if w.isdigit()]
         rest = [w for w in words if not w.isdigit()]
         if len(numbers) == 1 and len(rest) == 2:
             cores = {c for _, c in self.by_number.get(numbers[0], ())}
-            for a, b in (rest, rest[::-1]):
-                if a in cores and b not in cores:
-                    yield "", b
+            yield from ((0, w) for w in rest if w in cores)
 
-    def candidates(self, typed: list[list[str]]) -> list[dict]:
+    @staticmethod
+    def told(words: list[str], found: list[tuple]) -> str:
+        cores = {w for _, w in found}
+        others = [w for w in words if not w.isdigit() and w not in cores]
+        return f" {others[0]}" if cores and others else ""
+
+    def added_forms(self) -> Counter:
+        return Counter({"": 2})
+
+    @staticmethod
+    def _parts(s: str):
+        """(word, number) of a spelling with the number last or first."""
+        for pattern in (r"(.*?[a-z])([0-9]+)()", r"()([0-9]+)([a-z].*)"):
+            if m := re.fullmatch(pattern, s):
+                yield m[1] + m[3], m[2].lstrip("0")
+
+    def _by_code(self, typed: list[list[str]]) -> list[dict]:
+        return [dict([self.number_codes[s]]) if (s := "".join(w)) in self.number_codes else {} for w in typed]
+
+    def _by_number_code(self, typed: list[list[str]]) -> list[dict]:
+        return [dict(next(([self.number_codes[w + n]] for w, n in self._parts("".join(words)) if w + n in self.number_codes), ())) for words in typed]
+
+    def _by_number(self, typed: list[list[str]]) -> list[dict]:
         out: list[dict] = [{} for _ in typed]
-        who, text, form, base, left = [], [], [], [], []
-        for i, words in enumerate(typed):
-            s = "".join(words)
-            if s in self.number_codes:
-                out[i] = dict([self.number_codes[s]])
-                continue
-            for pattern in (r"(.*?[a-z])([0-9]+)()", r"()([0-9]+)([a-z].*)"):
-                m = re.fullmatch(pattern, s)
-                if not m:
-                    continue
-                word, number = m[1] + m[3], m[2].lstrip("0")
-                if word + number in self.number_codes:
-                    out[i] = dict([self.number_codes[word + number]])
-                    break
-                for ref, core in self.by_number.get(number, ()):
-                    if word == core:
-                        out[i][ref] = 0.0
-                    elif core in words and len(words) <= 3:  # another word beside an exact name
-                        out[i][ref] = min(OTHER_WORD, out[i].get(ref, np.inf))
-                    elif len(word) <= 3 * len(core) + 20:  # longer ones cost more than any match may
-                        for w in (core, *[x + core for x in self.added], *[core + x for x in self.added]):
-                            who.append((i, ref, len(core))), text.append(word), form.append(w), base.append(0.0 if w == core else 0.1)
-            left.append(i)
-        for (i, ref, n), c in zip(who, _in_steps(text, form, None, base)):
+
+        def ways():
+            for i, words in enumerate(typed):
+                for word, number in self._parts("".join(words)):
+                    for ref, core in self.by_number.get(number, ()):
+                        if word == core:
+                            out[i][ref] = 0.0
+                        elif core in words and len(words) <= 3:  # another word beside an exact name
+                            out[i][ref] = min(OTHER_WORD, out[i].get(ref, np.inf))
+                        else:
+                            for w in (core, *(x + core for x in self.added), *(core + x for x in self.added)):
+                                if len(word) <= 3 * len(w) + 20:  # longer ones cost more than any match may
+                                    yield (i, ref, len(core)), word, w, None, 0.0 if w == core else 0.1
+
+        for (i, ref, n), _, _, c in _compared(ways()):
             if c <= MOST_CORE * n + 0.2:
                 out[i][ref] = min(c, out[i].get(ref, np.inf))
-        left = [i for i in left if not out[i]] if self.cores else []
-        for i, found in zip(left, super().candidates([typed[i] for i in left])):
-            out[i] = found
         return out
 
 
@@ -343,9 +418,10 @@ def attributed(spellings: DataFrame, reference: DataFrame, ref_field: str, kind:
     ref_label, short_form, also_known); other columns are ignored. Null and
     empty spellings and words for "unknown" mean nothing; spellings that mean
     no item are not given. Ties go to the more frequent, then the smaller id.
-    Of repeated ids the least label counts. An empty reference gives no rows; one of
-    more than MAX_REFERENCE items is compared block by block, and the best of
-    all blocks counts.
+    Of repeated ids the least label counts. An empty reference gives no rows. One of
+    more than MAX_REFERENCE items is compared block by block, and learned words
+    that add more than MAX_FORMS forms piece by piece, with the same rows as if
+    all were compared at once.
 
     Method: a noisy channel. Spellings are counted alike if they have the same
     words. Those written as an item may be (its label or code, with words
@@ -378,11 +454,7 @@ def attributed(spellings: DataFrame, reference: DataFrame, ref_field: str, kind:
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     known = stage(distinct.mapInArrow(normal, "spelling string, n_rows bigint, words string").filter(F.col("words") != ""), "normal_spellings")
     forms = stage(known.groupBy("words").agg(F.sum("n_rows").alias("n")), "spelled_words") if blocks > 1 else known.groupBy("words").agg(F.sum("n_rows").alias("n"))
-    pairs = None
-    for i in range(blocks):
-        block = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == i)
-        costs = _block_costs(forms.repartition(width), [tuple(r) for r in sorted(block.collect(), key=lambda r: r.ref_id)], kind, missing)
-        pairs = costs if pairs is None else pairs.unionByName(costs)
+    pairs = _all_costs(forms, listed, blocks, width, kind, missing)
     as_written = pairs.groupBy("words").agg(F.min(F.struct("cost", "ref_id", "n")).alias("b")).filter(F.col("b.cost") <= AS_WRITTEN)
     prior = as_written.groupBy("b.ref_id").agg(F.sum("b.n").alias("n_written"))
     candidates = listed.select("ref_id", "ref_label").join(prior, "ref_id", "left")
@@ -393,37 +465,149 @@ def attributed(spellings: DataFrame, reference: DataFrame, ref_field: str, kind:
     return known.join(best, "words").select("spelling", "n_rows", "m.ref_id", "m.ref_label", "m.cost")
 
 
-def _block_costs(forms: DataFrame, items: list[tuple], kind: type[Reference], missing: tuple) -> DataFrame:
-    """(words, n, ref_id, cost): what each spelling (words, n) may mean among these items."""
+def _all_costs(forms: DataFrame, listed: DataFrame, blocks: int, width: int, kind: type[Reference], missing: tuple) -> DataFrame:
+    """(words, n, ref_id, cost): what each spelling (words, n) may mean among the items of all blocks."""
+    spark = forms.sparkSession
+    spread = forms.repartition(width)
+    counts = forms.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    tails = None
+    if blocks > 1:
+        counts = stage(counts, "word_counts")
+
+        def ends(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(kind.ends(list(zip(*[c.to_pylist() for c in b.columns]))), pa.string())], names=["tail"])
+
+        tails = stage(listed.mapInArrow(ends, "tail string").groupBy("tail").agg(F.count("*").alias("n")), "label_ends")
+
+    def block(i: int) -> tuple:
+        """Items, spellings that have each word of their labels, and labels of the whole reference that end as theirs do (None if these are all)."""
+        rows = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == i)
+        items = [tuple(r) for r in sorted(rows.collect(), key=lambda r: r.ref_id)]
+        in_labels = spark.createDataFrame([(w,) for w in sorted({w for _, label, *_ in items for w in _words(label)})], "word string")
+        typed = {r.word: r.n for r in counts.join(F.broadcast(in_labels), "word").collect()}  # words of the block
+        if blocks == 1:
+            return items, typed, None
+        own = spark.createDataFrame([(t,) for t in sorted(set(kind.ends(items)))], "tail string")
+        return items, typed, {r.tail: r.n for r in tails.join(F.broadcast(own), "tail").collect()}
+
+    first = block(0) if blocks == 1 else None
+    told = _learned(spread, [first] if blocks == 1 else map(block, range(blocks)), blocks, kind)
+
+    def pieces(items: list, typed: dict, ends: dict | None) -> list[DataFrame]:
+        """What is learned (given, word) for these items, in pieces that add MAX_FORMS forms or so each."""
+        added = kind(items, None, typed, ends).added_forms()
+        own = told.join(F.broadcast(spark.createDataFrame([(g,) for g in sorted(added)], "given string")), "given")
+        n = {r.given: r.n for r in own.groupBy("given").agg(F.count("*").alias("n")).collect()}
+        parts = max(1, min(sum(n.values()), -(-sum(added[g] * k for g, k in n.items()) // MAX_FORMS)))
+        return [own] if parts == 1 else [own.filter(F.pmod(F.xxhash64("given", "word"), F.lit(parts)) == k) for k in range(parts)]
+
+    def built(b: tuple, piece: DataFrame | None) -> Reference:
+        learned: dict[str, set] = {}
+        for r in piece.collect() if piece is not None else ():
+            learned.setdefault(r.given, set()).add(r.word)
+        return kind(b[0], learned, *b[1:])
+
+    if blocks == 1:
+        parts = pieces(*first)
+        if len(parts) == 1:
+            return _costs(spread, built(first, parts[0]), "candidates", missing)
+    # the phases of Reference.candidates, each over all blocks and pieces before the next
+    left, found = stage(forms, "spellings_left"), None
+    for phase in kind.PHASES:
+        costs, fits = None, None
+        if phase == "_channel" and blocks > 1:
+            for i in range(blocks):
+                part = _nearest(left.repartition(width), built(block(i), None))
+                fits = part if fits is None else fits.unionByName(part)
+            left = stage(left.join(fits.groupBy("words").agg(F.min("best").alias("best")), "words").select("words", "n", "best"), "spellings_left")
+        for i in range(blocks):
+            b = first if blocks == 1 else block(i)
+            for piece in pieces(*b) if phase in kind.LEARNING else [None]:
+                part = _costs(left.repartition(width), built(b, piece), phase, missing)
+                costs = part if costs is None else costs.unionByName(part)
+        least = F.min(F.struct("ref_id", "cost")).alias("r")
+        costs = costs.groupBy("words", "n").agg(least) if phase in kind.FIRST else costs.groupBy("words", "n", F.col("ref_id").alias("ref")).agg(least)
+        costs = stage(costs.select("words", "n", "r.ref_id", "r.cost"), "phase_costs")
+        found = costs if found is None else found.unionByName(costs)
+        left = stage(left.join(costs.select("words").distinct(), "words", "left_anti"), "spellings_left")
+    return found
+
+
+def _learned(forms: DataFrame, parts, blocks: int, kind: type[Reference]) -> DataFrame:
+    """(given, word): what the spellings tell about the items of all ``parts``, from LEARN_FROM spellings or more each."""
     spark = forms.sparkSession
-    in_labels = spark.createDataFrame([(w,) for w in sorted({w for _, label, *_ in items for w in _words(label)})], "word string")
-    seen = forms.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).join(F.broadcast(in_labels), "word")
-    typed = {r.word: r.n for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}  # words of the block
-    plain = spark.sparkContext.broadcast(kind(items, None, typed))
 
-    def tell(batches):
+    def tell(batches):  # of the only block
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([f"{g} {w}" for x in b.column(0).to_pylist() for g, w in plain.value.evidence(x.split(" "))], pa.string())], names=["t"])
+            words = [x.split(" ") for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for w in words if (t := kind.told(w, list(plain.value.evidence(w))))], pa.string())], names=["t"])
 
-    told = forms.select("words").mapInArrow(tell, "t string").groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= LEARN_FROM)
-    learned: dict[str, set] = {}
-    for r in told.limit(MAX_REFERENCE).collect():
-        given, word = r.t.split(" ")
-        learned.setdefault(given, set()).add(word)
-    shared = spark.sparkContext.broadcast(kind(items, learned, typed))
+    def say(batches):  # of one of several blocks
+        import pyarrow as pa
 
-    def compare(batches):
+        for b in batches:
+            said = [(x, *e) for x in b.column(0).to_pylist() for e in plain.value.evidence(x.split(" "))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in said], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["words", "ref_id", "told"])
+
+    def conclude(batches):
         import pyarrow as pa
 
         for b in batches:
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([t for x, said in rows if (t := kind.told(x.split(" "), [(e["ref_id"], e["told"]) for e in said]))], pa.string())], names=["t"])
+
+    said = told = None
+    for items, typed, ends in parts:
+        plain = spark.sparkContext.broadcast(kind(items, None, typed, ends))
+        if blocks == 1:
+            told = forms.select("words").mapInArrow(tell, "t string")
+        else:
+            part = stage(forms.select("words").mapInArrow(say, "words string, ref_id bigint, told string"), "evidence")
+            said = part if said is None else said.unionByName(part)
+    if blocks > 1:
+        told = said.groupBy("words").agg(F.collect_set(F.struct("ref_id", "told")).alias("said")).mapInArrow(conclude, "t string")
+    t = F.split("t", " ")
+    return stage(told.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= LEARN_FROM).select(t[0].alias("given"), t[1].alias("word")), "learned_words")
+
+
+def _nearest(forms: DataFrame, reference: Reference) -> DataFrame:
+    """(words, best): ``Reference.nearest`` of each spelling among the items of one block."""
+    shared = forms.sparkSession.sparkContext.broadcast(reference)
+
+    def fit(batches):
+        import pyarrow as pa
+
+        for b in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
+            best = shared.value.nearest([w.split(" ") for w in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.float64())], names=["words", "best"])
+
+    out = stage(forms.select("words").mapInArrow(fit, "words string, best double"), "best_fits")
+    shared.destroy()
+    return out
+
+
+def _costs(forms: DataFrame, reference: Reference, phase: str, missing: tuple) -> DataFrame:
+    """(words, n, ref_id, cost): what a phase finds for each spelling (words, n, with or without best) among these items."""
+    shared = forms.sparkSession.sparkContext.broadcast(reference)
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for b in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             words = [w.split(" ") for w in b.column(0).to_pylist()]
-            found = [{} if "".join(w) in missing else c for w, c in zip(words, shared.value.candidates(words))]
+            found = getattr(shared.value, phase)(words, *[c.to_pylist() for c in b.columns[2:]])
+            found = [{} if "".join(w) in missing else c for w, c in zip(words, found)]
             at = pa.array([i for i, c in enumerate(found) for _ in c], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), pa.array([r for c in found for r in c], pa.int64()), pa.array([float(v) for c in found for v in c.values()], pa.float64())],
                 names=["words", "n", "ref_id", "cost"],
             )
 
-    return stage(forms.mapInArrow(compare, "words string, n bigint, ref_id bigint, cost double"), "channel_costs")
+    out = stage(forms.mapInArrow(compare, "words string, n bigint, ref_id bigint, cost double"), "channel_costs")
+    shared.destroy()
+    return out

@@ -128,3 +128,49 @@ def test_reference_in_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in N.attributed(df, ref, "maker").collect()}
     monkeypatch.setattr(N, "MAX_REFERENCE", 7)
     assert {tuple(r) for r in N.attributed(df, ref, "maker").collect()} == whole and len(whole) >= 100
+
+
+def rows(spark, typed, ref, kind=N.Reference, field="maker"):
+    df = spark.createDataFrame([(s,) for s in typed], "spelling string")
+    return {tuple(r) for r in N.attributed(df, spark.createDataFrame(ref, REF), field, kind).collect()}
+
+
+def test_all_learned_words_count(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_REFERENCE", 7)
+    short = ["Bob", "Rick", "Hank", "Chuck", "Dick", "Jake", "Ned", "Polly", "Gus", "Wim", "Tex", "Zeke"]
+    ref = [(i, "maker", f"{given} {w} Aircraft Company", None, None, None) for i, (given, w) in enumerate([("Robert", "Kluraol"), ("Robert", "Tumanem"), ("Oswald", "Vessinor")])]
+    want = {f"{n} {w}": k for n in short for k, w in enumerate(["Kluraol Aircraft Company", "Tumanem Aircraft"])}
+    for limit in (10**6, 150):
+        monkeypatch.setattr(N, "MAX_FORMS", limit, raising=False)
+        got = {r[0]: (r[2], round(r[4], 2)) for r in rows(spark, want, ref)}
+        assert {s: k for s, (k, _) in got.items()} == want
+        assert all(cost == (N.LEARNED if s.endswith("Company") else N.LEARNED + 0.3) for s, (_, cost) in got.items())
+
+
+def test_blocks_and_pieces_give_the_rows_of_the_whole(spark, monkeypatch):
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choices(["ka", "lo", "mir", "ten", "su", "rol", "vik", "dra", "gor"], k=3)).title()
+    given, ends = ["Robert", "Theodore", "William"], ["Aircraft Company", "Aviation", "Planes Limited Works"]
+    makers = [(i, "maker", f"{rnd.choice(given)} {word()} {rnd.choice(ends)}" if i % 2 else f"{word()} {rnd.choice(ends)}", f"C{i % 25}X" if i % 3 else None, f"{word()} Works" if i % 5 == 0 else None, None) for i in range(30)]
+    models = [(i, "model", f"{word()} {600 + 10 * (i % 9)}" if i % 4 else f"{word()} {word()} B", f"M{i % 30}" if i % 3 else None, None, None) for i in range(30)]
+    short = {"Robert": ["Bob", "Rob"], "Theodore": ["Ted"], "William": ["Bill", "Will", "Liam"]}
+    for ref, kind, field in ((makers, N.Reference, "maker"), (models, N.ModelReference, "model")):
+        typed = [r[2] for r in ref] + [r[3] for r in ref if r[3]] + [r[4] for r in ref if r[4]]
+        for label in list(typed):
+            first, *rest = label.split(" ")
+            typed += [" ".join([n, *rest[:2]]) for n in short.get(first, ["Super", "Mk"] if kind is N.ModelReference else [])]
+            typed += [f"{n} {label}" for n in ("Super", "Kit")] if kind is N.ModelReference else []
+            typed += [label[:k] + label[k + 1 :] for k in rnd.sample(range(len(label)), 2)]
+        whole = rows(spark, typed, ref, kind, field)
+        assert len(whole) >= 120
+        with monkeypatch.context() as m:
+            m.setattr(N, "MAX_REFERENCE", 15)
+            m.setattr(N, "MAX_FORMS", 100 if kind is N.Reference else 2, raising=False)
+            assert rows(spark, typed, ref, kind, field) == whole
+
+
+def test_added_words_of_any_length():
+    ref = N.Reference([(1, "Robert Kluraol Aircraft Company", None, None), (2, "James Tumanem Aircraft Company", None, None)])
+    assert ref.candidates([["r" + "x" * 300, "kluraol", "aircraft", "company"]]) == [{1: N.LEARNED + 0.8}]
+    long = "experimental" * 5
+    assert list(N.ModelReference([(1, "Flienarn 610", None, None)], {"": {long}}).candidates([[long, "flinarn", "610"]])[0]) == [1]
